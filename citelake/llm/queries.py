@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import lm_scoring, quality_rules, secret_scan, sharding, token_counts
+from citelake.llm import jaccard_join, lm_scoring, quality_rules, secret_scan, sharding, token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,10 +49,15 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_jaccard_join": op6_jaccard_join,
 }
