@@ -39,6 +39,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def prefix_sums(lens: Column) -> Column:
+    """Sums of all elements before each one, by blocks of 128."""
+
+    def total(x):
+        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+    def sums(x):
+        blocks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(128)), lambda b: total(F.slice(x, b + 1, 128)))
+        return let(
+            blocks,
+            lambda bs: F.transform(
+                x,
+                lambda _, i: total(F.slice(bs, F.lit(1), (i / 128).cast("int")))
+                + total(F.slice(x, (i / 128).cast("int") * 128 + 1, i % 128)),
+            ),
+        )
+
+    return let(lens, sums)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Alternating large-star / small-star over ``(a, b)`` long edges.
 

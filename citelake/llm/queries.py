@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm import jaccard_join, lm_scoring, quality_rules, secret_scan, sharding, token_counts
+from citelake.llm import (
+    bpe,
+    chat_format,
+    jaccard_join,
+    lm_scoring,
+    packing,
+    quality_rules,
+    secret_scan,
+    sharding,
+    token_counts,
+    topk,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -53,6 +64,44 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = [
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), said.alias("text"))
+        for k, r in enumerate(("user", "assistant"))
+    ]
+    rows = rows.union(spark.range(1).select(F.inline(F.array(*more))))
+    chats = chat_format.format_chat(chat_format.gather_turns(rows))
+    turns = chat_format.read_back(F.col("formatted"))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat_format.loss_text(F.col("formatted"), F.col("loss_mask"))
+    read = chats.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.array_join(lines, "").alias("turns"), loss.alias("loss"), "formatted")
+    return read.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -60,4 +109,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_bpe": op7_bpe,
+    "op8_chat_format": op8_chat_format,
+    "op9_packing": op9_packing,
+    "op10_topk": op10_topk,
 }

@@ -21,7 +21,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import let
+from citelake.llm.common import let, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -165,26 +165,6 @@ def candidates(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = R
     return met.groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 
-def _prefix_sums(lens: Column) -> Column:
-    """Sums of all elements before each one, by blocks of 128."""
-
-    def total(x):
-        return F.aggregate(x, F.lit(0), lambda a, b: a + b)
-
-    def sums(x):
-        blocks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(128)), lambda b: total(F.slice(x, b + 1, 128)))
-        return let(
-            blocks,
-            lambda bs: F.transform(
-                x,
-                lambda _, i: total(F.slice(bs, F.lit(1), (i / 128).cast("int")))
-                + total(F.slice(x, (i / 128).cast("int") * 128 + 1, i % 128)),
-            ),
-        )
-
-    return let(lens, sums)
-
-
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Sorted array of (start, ord, end, kind), leftmost and non-overlapping."""
     pattern = F.lit(rule.pattern)
@@ -198,7 +178,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     def place(rows):
         steps = F.transform(rows, lambda r: F.length(r["gap"]) + F.length(r["found"]))
         return F.transform(
-            F.arrays_zip(rows.alias("r"), _prefix_sums(steps).alias("before")),
+            F.arrays_zip(rows.alias("r"), prefix_sums(steps).alias("before")),
             lambda z: F.struct(
                 (z["before"] + F.length(z["r"]["gap"])).alias("start"),
                 F.lit(order).alias("ord"),
@@ -213,28 +193,38 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.rlike(text, pattern), bare).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row ``(id_col, text_col, spans)`` per document, spans sorted by start and rule.
-
-    A null text is scanned as an empty one and returned as null. Rows are told apart by
-    (id, text), so null and repeated ids and repeated rows keep their own right spans.
-    Other columns are not read. The index join moves each text once, by its own key: no
-    key is hotter than its number of exactly repeated rows.
-    """
-    base = docs.select(
-        F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
-    )
-    found = candidates(base, "_key", text_col, rules).withColumnRenamed("rules", "_rules")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def scan_columns(
+    docs: DataFrame,
+    columns: list[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
+    """``columns`` and ``spans`` (in place of a column of that name); see ``scan``."""
+    row = F.struct(*[F.col(c) for c in columns if c != "spans"]).alias("_row")
+    base = docs.select(row, F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
+    found = candidates(base, "_key", "_text", rules).withColumnRenamed("rules", "_rules")
+    text = F.coalesce("_text", F.lit(""))
+    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
     parts = []
     for k, rule in enumerate(rules):
         spans = _spans(text, rule, k)
         if trigram_query(rule.pattern):
-            none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
             spans = F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none)
         parts.append(spans)
     joined = base.join(found.hint("shuffle_hash"), "_key", "left")
-    return joined.select(id_col, text_col, F.sort_array(F.concat(*parts)).alias("spans"))
+    return joined.select("_row.*", F.sort_array(F.concat(*parts)).alias("spans"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row ``(id_col, spans)`` per document, spans sorted by start and rule.
+
+    A null text is scanned as an empty one. Rows are told apart by (id, text), so null and
+    repeated ids and repeated rows keep their own right spans. Other columns are not read.
+    An empty table gives an empty one. The index join moves each text once, by its own key:
+    no key is hotter than its number of exactly repeated rows.
+    """
+    return scan_columns(docs, [id_col], id_col, text_col, rules)
 
 
 def spans_text(spans: Column) -> Column:
