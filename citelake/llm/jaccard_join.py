@@ -4,10 +4,12 @@ A text is its set of distinct shingles. Two sets link when
 ``den * |A & B| >= num * |A | B|`` (num / den = 0.9). Sets that link differ in at most
 (|A| + |B|) / 19 elements, which drives everything:
 
-1. *Dealing.* In a size class a set is cut by hash into one more groups than linked sets of
-   that class can differ in. At least one group is then equal in both, so linked sets meet
-   at a signature (class, group, digest). Sets near the upper edge of a class also sign in
-   the next one. Equal sets are one node. This misses no link, at any group size.
+1. *Dealing.* In a size class a set is cut by hash into more groups than linked sets of that
+   class can differ in. At least one group is then equal in both, so linked sets meet at a
+   signature (class, group, digest). Sets near the upper edge of a class also sign in the
+   next one. There are some groups to spare, so that an equal group that isn't empty is
+   certain too; only a set with more empty groups than that signs with them. Equal sets are
+   one node. This misses no link, at any group size.
 2. *Components of what met* (``connected_components``) are dealt to tasks, a large one as
    pairs of chunks.
 3. *Count-vector R-tree.* In a task each set is a point: its numbers of shingles in 64 hash
@@ -75,10 +77,16 @@ class SizeClasses:
             self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
         self.array = np.array(self.edges)
 
+    def most_apart(self, c: int, n: int) -> int:
+        """How many elements a set of size n and a linked one below the class's upper edge
+        can differ in."""
+        partner = min(self.edges[c + 1] - 1, n * self.den // self.num)
+        return (n + partner) * (self.den - self.num) // (self.den + self.num)
+
     def groups(self, c: int) -> int:
-        """One more than two linked sets below the class's upper edge can differ in."""
-        most = self.edges[c + 1] - 1
-        return 2 * most * (self.den - self.num) // (self.den + self.num) + 1
+        """More than any two linked sets of the class can differ in, and some to spare."""
+        most = self.most_apart(c, self.edges[c + 1] - 1)
+        return most + most // 16 + 3
 
     def of(self, n: int) -> list[int]:
         c = int(np.searchsorted(self.array, n, "right")) - 1
@@ -91,9 +99,14 @@ def signatures(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
     out = []
     for c in classes.of(len(s)):
         t = classes.groups(c)
+        group = ((s >> np.uint64(33)) % np.uint64(t)).astype(np.int64)
         digest = np.zeros(t, np.uint64)
-        np.add.at(digest, ((s >> np.uint64(33)) % np.uint64(t)).astype(np.int64), mixed)
-        out.append(mix(mix(digest) + np.arange(t, dtype=np.uint64) * _K[0] + np.uint64(c) * _K[3]))
+        np.add.at(digest, group, mixed)
+        used = np.bincount(group, minlength=t) > 0
+        if classes.most_apart(c, len(s)) >= used.sum():
+            used[:] = True
+        at = np.flatnonzero(used).astype(np.uint64)
+        out.append(mix(mix(digest[used]) + at * _K[0] + np.full(1, c, np.uint64) * _K[3]))
     return np.concatenate(out).view(np.int64)
 
 
