@@ -28,7 +28,7 @@ from citelake.llm.textarrays import mix, slices, words
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
-_BLOCK_TOKENS = 2_000_000
+_BLOCK_TOKENS = 1_000_000
 _TOTALS = "block long, part int, bucket int, kind int, kept binary, every binary, types long"
 _SENT = "bucket int, kind int, block long, part int, keys binary, counts binary"
 _EVENTS = "cvw long, cv long, cw long, n long"
