@@ -6,7 +6,7 @@ aggregate or a dimension, never the fact table with itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelake.functions.scoring import rate
@@ -54,9 +54,7 @@ def latest_per_group(rows: DataFrame, group: Column, order: list[Column], aggreg
 def user_rollup(users: DataFrame, rows: DataFrame, user: str, aggregates: list[Column], lifetime: list[Column], in_window: Column) -> DataFrame:
     """Users with aggregates of their rows in the window and over their lifetime; users
     without rows stay, with nulls, which the caller fills. One pass over the rows."""
-    windowed = [F.expr(str(a)) if isinstance(a, str) else a for a in aggregates]
-    marked = rows.withColumn("_in", in_window)
-    per = marked.groupBy(user).agg(*windowed, *lifetime)
+    per = rows.withColumn("_in", in_window).groupBy(user).agg(*aggregates, *lifetime)
     return users.join(per, user, "left")
 
 
@@ -127,6 +125,8 @@ def usage_costs(usage: DataFrame, rates: DataFrame, model: str, tokens_in: str,
 
 
 def first_seen_order(rows: DataFrame, key: Column, seq: str) -> DataFrame:
-    """Order-preserving distinct: per key the row of the smallest ``seq``; null keys all stay."""
-    w = Window.partitionBy(key).orderBy(seq)
-    return rows.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") == 1) | key.isNull()).drop("_rn")
+    """Order-preserving distinct: per key the row of the smallest ``seq``; null keys all
+    stay. An aggregation with map-side partials, so a hot key is no hot task."""
+    keyed = rows.withColumn("_key", key)
+    first = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), seq).alias("_r"))
+    return first.select("_r.*").union(keyed.where("_key is null").drop("_key"))

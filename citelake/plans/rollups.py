@@ -9,7 +9,7 @@ from citelake.operators import rollup
 from citelake.plans.tables import table
 from citelake.registry import register
 
-AS_OF = F.to_timestamp_ntz(F.lit("2001-08-02 00:00:00"))
+AS_OF = "2001-08-02 00:00:00"
 
 
 @register(
@@ -51,7 +51,7 @@ def latest_check_per_group(spark, sf_dir):
     FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY"""
 )
 def overview_totals(spark, sf_dir):
-    rows = rollup.within(table(spark, sf_dir, "orders"), "o_orderdate", AS_OF, 365)
+    rows = rollup.within(table(spark, sf_dir, "orders"), "o_orderdate", F.to_timestamp_ntz(F.lit(AS_OF)), 365)
     price = F.round("o_totalprice").cast("long")
     out = rollup.totals(
         rows,
