@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.bpe import Remembered, loaded
+from citelake.llm.bpe import Coder, kept, loaded
 from citelake.llm.common import materialize
 
 CAPACITY = 2048
@@ -96,30 +96,33 @@ def cut_pieces(
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
-        bpe = loaded(spec.value)
-        known = Remembered(lambda word: np.array(bpe.merge(word), "<u4").tobytes())
+        coder = kept(("plain coder", spec.value), lambda: Coder(loaded(spec.value)))
         for batch in batches:
-            rows, pieces, starts, lengths, sums = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                data = b"".join(map(known.__getitem__, bpe.words(text.as_py() or ""))) + last
-                known.trim()
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append(row)
-                    pieces.append(k)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(pieces, pa.int32()),
-                    pa.array(starts, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(sums, pa.int64()),
-                ],
-                names=[id_col, "piece", "start", "length", "ids_crc32"],
-            )
+            for part in coder.runs(batch.column(1)):
+                ids, bounds = part.ids()
+                data, bounds = memoryview(ids).cast("B"), bounds.tolist()
+                rows, pieces, starts, lengths, sums = [], [], [], [], []
+                for row, (begin, stop) in enumerate(zip(bounds, bounds[1:]), part.first):
+                    total = stop - begin + 1  # and the end id
+                    for k, at in enumerate(range(0, total, capacity)):
+                        length = min(capacity, total - at)
+                        from_, to = begin + at, min(begin + at + length, stop)
+                        crc = zlib.crc32(data[4 * from_ : 4 * to])
+                        rows.append(row)
+                        pieces.append(k)
+                        starts.append(at)
+                        lengths.append(length)
+                        sums.append(crc if to - from_ == length else zlib.crc32(last, crc))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array(pieces, pa.int32()),
+                        pa.array(starts, pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                        pa.array(sums, pa.int64()),
+                    ],
+                    names=[id_col, "piece", "start", "length", "ids_crc32"],
+                )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

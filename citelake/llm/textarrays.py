@@ -1,9 +1,10 @@
 """Words of many texts at once, as arrays of 64-bit hashes.
 
-A word is a maximal run without ASCII white space, ASCII letters lower-cased. Its hash is a
-polynomial in its bytes modulo 2**64, read off one running sum over the texts' buffer, and
-mixed. No Python string is made per word, and a slice of texts of about a megabyte (or one
-longer text) is held at a time.
+A word is a maximal run without ASCII white space, with ASCII letters lower-cased or as
+they stand. Its hash is a polynomial in its bytes modulo 2**64, read off one running sum
+over the texts' buffer, and mixed; a word of 512 bytes or more, where such polynomials have
+known collisions, is hashed on its own. No Python string is made per word, and a slice of
+texts of about a megabyte (or one longer text) is held at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
+_LONG = 512
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,10 +72,17 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
+    """Hashes of all lower-cased words in order, and the number of words of each text."""
+    hashes, counts, _, _ = spans(raw, at, _LOWER)
+    return hashes, counts
+
+
+def spans(raw: np.ndarray, at: np.ndarray, fold: np.ndarray = _SAME) -> tuple[np.ndarray, ...]:
+    """Hashes of words, words of each text, first and last byte of each word."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64), none, none
     inside = ~_BLANK[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -81,7 +92,12 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends[:-1] |= inside[:-1] & ~inside[1:]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     up, down = _POWERS.get(n)
-    sums = np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n])
+    sums = fold[raw].astype(np.uint64)
+    sums += np.uint64(1)
+    sums *= up[:n]
+    np.cumsum(sums, out=sums)
     before = np.where(first > 0, sums[np.maximum(first, 1) - 1], np.uint64(0))
     hashes = mix((sums[last] - before) * down[first])
-    return hashes, np.diff(np.searchsorted(first, at))
+    for k in np.flatnonzero(last - first >= _LONG - 1):
+        hashes[k] = xxhash.xxh3_64_intdigest(fold[raw[first[k] : last[k] + 1]].tobytes())
+    return hashes, np.diff(np.searchsorted(first, at)), first, last
