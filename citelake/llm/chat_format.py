@@ -91,7 +91,7 @@ def fingerprint(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) ->
 def _turns(layout: Layout) -> Column:
     def turn(role, text):
         role = F.coalesce(role, F.lit(""))
-        for name, same in _SAME_ROLE.items():
+        for name, same in _SAME_ROLE.items() if layout.name == "conversations" else ():
             role = F.when(role == name, same).otherwise(role)
         return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
