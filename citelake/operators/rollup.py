@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.functions.scoring import rate
+from citelake.functions.scoring import model_cost, rate
 
 
 def within(rows: DataFrame, ts: str, as_of: Column, days: int | None) -> DataFrame:
@@ -111,17 +111,19 @@ def share_of_total(rows: DataFrame, group: str, amount: Column) -> DataFrame:
 
 
 def usage_costs(usage: DataFrame, rates: DataFrame, model: str, tokens_in: str, tokens_out: str) -> DataFrame:
-    """Costs by model name; the rate is that of the longest key the name contains. The rate
-    table is a price list of a few rows and is broadcast."""
-    from citelake.functions.scoring import model_cost
-
+    """Costs by model name; the rate is that of the longest key the name contains. Names
+    meet keys by equality with their substrings, so no table of rates is too large."""
     names = usage.groupBy(model).agg(F.sum(tokens_in).alias("tokens_in"), F.sum(tokens_out).alias("tokens_out"), F.count("*").alias("calls"))
-    hits = names.join(F.broadcast(rates), F.contains(F.lower(F.col(model)), F.col("rate_key")), "left")
-    best = hits.groupBy(model, "tokens_in", "tokens_out", "calls").agg(
+    low, n = F.lower(F.col(model)), F.length(F.col(model))
+    parts = F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(low, i, k))
+    )
+    keyed = names.where(n > 0).select(model, F.explode(F.array_distinct(F.flatten(parts))).alias("rate_key"))
+    best = keyed.join(rates, "rate_key").groupBy(model).agg(
         F.max_by(F.struct("rate_in", "rate_out"), F.length("rate_key")).alias("_rate")
     )
     cost = model_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("_rate.rate_in"), F.col("_rate.rate_out"))
-    return best.select(model, "calls", "tokens_in", "tokens_out", cost.alias("cost"))
+    return names.join(best, model, "left").select(model, "calls", "tokens_in", "tokens_out", cost.alias("cost"))
 
 
 def first_seen_order(rows: DataFrame, key: Column, seq: str) -> DataFrame:

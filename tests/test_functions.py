@@ -100,3 +100,67 @@ def test_classify_order(spark):
     assert status('[{"severity":"error","type":"unverified","details":""},{"severity":"error","type":"url","details":"URL references paper"}]') == "verified"
     assert status('[{"severity":"warning","type":"year","details":""},{"severity":"error","type":"title","details":""}]') == "error"
     assert status("[]") == "verified"
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "differ"),
+    [
+        ("Proc. Natl. Acad. Sci.", "Proceedings of the National Academy of Science", False),
+        ("Journal of Machine Learning Research", "JMLR", False),
+        ("arXiv preprint", "Nature", False),
+        ("Nature", "Cell", True),
+        (None, "Cell", False),
+        ("NeurIPS 2020", "NeurIPS", False),
+    ],
+)
+def test_venues(spark, a, b, differ):
+    from citelake.functions.names import venues_differ
+
+    assert one(spark, venues_differ(F.lit(a).cast("string"), F.lit(b))) is differ
+
+
+def test_author_lists(spark):
+    from citelake.functions.names import compare_authors
+
+    lists = lambda x, y: one(spark, compare_authors(F.array(*map(F.lit, x)), F.array(*map(F.lit, y))))
+    full = ["Ann Bee", "Cy Dee", "Eve Fox"]
+    assert lists(full, full) == "" and lists(["Bee, A.", "et al."], full) == ""
+    assert lists(["Cy Dee", "Ann Bee", "Eve Fox"], full) == "order"
+    assert lists(["Ann Bee", "Cy Dee"], full) == "count"
+    assert lists(["Zed Zoo"], full) == "not found: Zed Zoo"
+
+
+def test_word_diff(spark):
+    from citelake.functions.names import word_diff
+
+    df = spark.createDataFrame([(1, "a b c d", "a x c"), (2, None, "n"), (3, "", "")], "id int, a string, b string")
+    rows = [tuple(r) for r in word_diff(df, "id", "a", "b").orderBy("id", "n").collect()]
+    assert rows == [(1, 0, "eq", "a"), (1, 1, "del", "b"), (1, 2, "add", "x"), (1, 3, "eq", "c"), (1, 4, "del", "d"), (2, 0, "add", "n")]
+
+
+def test_citation_audit(spark):
+    from citelake.operators import citations
+
+    docs = spark.createDataFrame([(1, "a [2] b [1] c [3-5] d [9] [1]"), (2, "x [1]")], "d int, t string")
+    refs = spark.createDataFrame([(1, n) for n in (1, 2, 3, 4, 4, 5, 7)] + [(2, 1)], "d int, n int")
+    marks = citations.markers(docs, "d", F.col("t"))
+    row = {r["d"]: r for r in citations.audit(marks, refs, "d", "n").collect()}
+    assert row[1]["undefined"] == [9] and row[1]["duplicate"] == [4] and row[1]["gap"] == [6]
+    assert row[1]["uncited"] == [7] and row[1]["out_of_order"] == [1] and not row[1]["abstains"] and row[2]["abstains"]
+    dense = citations.dense_numbers(marks.where("d = 1"), "d").select("number", "new_number").distinct().collect()
+    assert dict(map(tuple, dense)) == {2: 1, 1: 2, 3: 3, 4: 4, 5: 5, 9: 6}
+    found = citations.contexts(docs, "d", F.col("t"), 4).where("number = 9").first()["context"]
+    assert found == "5] d [9] [1]"[3:8] + " " or "[9]" in found
+
+
+def test_result_buckets(spark):
+    from citelake.operators import results
+
+    schema = "c int, i int, s int, fab boolean, issues array<struct<severity: string, type: string, details: string>>"
+    err, warn, unv = ("error", "title", ""), ("warning", "year", ""), ("error", "unverified", "")
+    rows = [(1, 0, 0, False, [err]), (1, 0, 1, False, [warn]), (1, 1, 0, True, [err]), (1, 2, 0, False, [unv]), (1, 3, 0, False, None)]
+    row = results.buckets(spark.createDataFrame(rows, schema), "c", "i", "s", "issues", "fab").first()
+    assert (row["total"], row["n_warning"], row["n_hallucination"], row["n_unverified"], row["n_verified"], row["errors"], row["warnings"]) == (4, 1, 1, 1, 1, 0, 1)
+    old = spark.createDataFrame([(1, "verified"), (2, "pending"), (3, "error")], "k int, st string")
+    new = spark.createDataFrame([(1, "pending"), (2, "error")], "k int, st string")
+    assert sorted(map(tuple, results.merge_progress(old, new, "k", "st").collect())) == [(1, "verified"), (2, "error"), (3, "error")]
