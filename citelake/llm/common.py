@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citelake.storage import materialize
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="citelake-")
+__all__ = ["connected_components", "kept", "let", "materialize", "prefix_sums", "with_roots"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own
-    where that is unset (single-machine tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_dir()
+_LOADED: dict[str, tuple[bytes, object]] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage with a copy
-    that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def kept(name: tuple[str, bytes], make):
+    """One per worker process, kind and content, kept across tasks; a new content of a kind
+    takes the place of the last one."""
+    kind, content = name
+    mark = hashlib.sha256(content).digest()
+    if kind not in _LOADED or _LOADED[kind][0] != mark:
+        _LOADED[kind] = mark, make()
+    return _LOADED[kind][1]
 
 
 def let(value: Column, body) -> Column:

@@ -366,7 +366,7 @@ def join(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents whose id is their component's smallest, all columns; those without
-    shingles stay, and of repeated rows of one id and text one stays."""
+    shingles stay. Rows of one id go or stay together."""
     found = join(docs, id_col, text_col, **params)
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
     kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.bpe import Coder, kept, loaded
-from citelake.llm.common import materialize
+from citelake.llm.bpe import Coder, loaded
+from citelake.llm.common import kept, materialize
 
 CAPACITY = 2048
 
