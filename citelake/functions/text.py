@@ -245,28 +245,35 @@ def title_similarity(a: Column, b: Column) -> Column:
 
     def norm(t):
         low = F.trim(F.regexp_replace(F.trim(F.lower(strip_latex(strip_html(t)))), year, ""))
-        return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\w\s]", " "), r"\s+", " "))
+        return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\w\s]", " "), r"\s+", " ")), F.lit(""))
 
-    x, y = norm(a), norm(b)
+    return let(F.struct(norm(a).alias("x"), norm(b).alias("y")), lambda t: _similarity(t["x"], t["y"]))
+
+
+def _similarity(x: Column, y: Column) -> Column:
     edition = r"\s+(?:second|third|fourth|fifth|revised|updated|new|latest|[0-9]+(?:st|nd|rd|th))\s+edition$"
-    short = F.when(F.length(x) < F.length(y), x).otherwise(y)
-    full = F.when(F.length(x) < F.length(y), y).otherwise(x)
-    wx, wy = _title_words(x), _title_words(y)
-    both, union = F.size(F.array_intersect(wx, wy)), F.size(F.array_union(wx, wy))
-    jaccard = both / union
-    tokens = F.split(x, " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1)))
-    ordered = F.size(F.filter(pairs, lambda p: F.contains(y, p))) / F.size(pairs)
-    score = (
-        F.when(x == y, 1.0)
+    longer = F.length(x) < F.length(y)
+    short, full = F.when(longer, x).otherwise(y), F.when(longer, y).otherwise(x)
+
+    def by_words(w):
+        shared, union = F.size(F.array_intersect(w["x"], w["y"])), F.size(F.array_union(w["x"], w["y"]))
+        jaccard = shared / union
+        tokens = F.split(x, " ")
+        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(1))), lambda p, q: F.concat_ws(" ", p, q))
+        pairs = F.slice(pairs, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1)))
+        ordered = F.size(F.filter(pairs, lambda p: F.contains(y, p))) / F.size(pairs)
+        near = (shared >= 0.9 * F.least(F.size(w["x"]), F.size(w["y"]))) & (jaccard >= 0.7)
+        return F.when(near, F.greatest(F.lit(0.85), jaccard)).otherwise(F.least(F.lit(1.0), jaccard * 0.7 + ordered * 0.3))
+
+    words = F.struct(_title_words(x).alias("x"), _title_words(y).alias("y"))
+    return (
+        F.when((x == "") | (y == ""), 0.0)
+        .when(x == y, 1.0)
         .when(F.replace(x, F.lit(" "), F.lit("")) == F.replace(y, F.lit(" "), F.lit("")), 1.0)
         .when(F.regexp_replace(x, edition, "") == F.regexp_replace(y, edition, ""), 1.0)
         .when(F.contains(full, short), F.when(F.length(short) >= 0.8 * F.length(full), 0.95).otherwise(0.7))
-        .when((both >= 0.9 * F.least(F.size(wx), F.size(wy))) & (jaccard >= 0.7), F.greatest(F.lit(0.85), jaccard))
-        .otherwise(F.least(F.lit(1.0), jaccard * 0.7 + ordered * 0.3))
+        .otherwise(let(words, by_words))
     )
-    empty = (F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == "")
-    return F.when(empty, 0.0).otherwise(score)
 
 
 def typo_distance_allowed(a: Column, b: Column) -> Column:
