@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citelake.storage import materialize
 
-__all__ = ["connected_components", "kept", "let", "materialize", "prefix_sums", "with_roots"]
+__all__ = ["connected_components", "join_back", "kept", "let", "materialize", "prefix_sums", "with_roots"]
 
 
 _LOADED: dict[str, tuple[bytes, object]] = {}
@@ -54,6 +54,16 @@ def prefix_sums(lens: Column) -> Column:
     return let(lens, sums)
 
 
+def join_back(rows: DataFrame, aggregate: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of an aggregate by the long ``key``.
+
+    Above an aggregation Spark reuses its partitioning and can't split a hot key's rows. The
+    join is on the key's complement, so both sides are dealt anew and it can.
+    """
+    other = F.bitwise_not(F.col(key))
+    return rows.withColumn("_other", other).join(aggregate.withColumn("_other", other).drop(key), "_other").drop("_other")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Alternating large-star / small-star over ``(a, b)`` long edges.
 
@@ -72,11 +82,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_back(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            join_back(large, low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v")

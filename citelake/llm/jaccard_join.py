@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import connected_components, materialize, with_roots
+from citelake.llm.common import connected_components, join_back, materialize, with_roots
 from citelake.llm.textarrays import mix, slices, words
 
 NUM, DEN = 90, 100
@@ -299,7 +299,7 @@ def join(
     )
     rows = one_each.select("set_id", F.explode("sigs").alias("sig"))
     met = rows.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
-    edges = rows.join(met.select("sig", "low"), "sig").where("set_id <> low")
+    edges = join_back(rows, met.select("sig", "low"), "sig").where("set_id <> low")
     near = with_roots(connected_components(edges.select(F.col("set_id").alias("a"), F.col("low").alias("b"))))
 
     # chunks: a component's sets are dealt over as many as keep a task's share small
@@ -310,7 +310,7 @@ def join(
         F.ceil(F.col("k") / _CHUNK),
         F.ceil(F.col("total") / _CHUNK_SHINGLES),
     ).cast("int")
-    placed = placed.join(sums.select("root", chunks.alias("chunks")), "root")
+    placed = join_back(placed, sums.select("root", chunks.alias("chunks")), "root")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     picked = placed.select("root", "set_id", "first", "chunks").join(
         texts, F.col("_id").eqNullSafe(F.col("first"))
@@ -358,7 +358,7 @@ def join(
     )
     smallest = materialize(smallest, "classes")
     of_root = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_set = smallest.join(of_root, "root").select("set_id", "component_id")
+    of_set = join_back(smallest, of_root, "root").select("set_id", "component_id")
     some = members.select(id_col, "n_shingles", "set_id").join(of_set, "set_id")
     none = signed.where("set_id is null").withColumn("component_id", F.col(id_col))
     return some.select(id_col, "n_shingles", "component_id").union(none.select(id_col, "n_shingles", "component_id"))
