@@ -107,3 +107,28 @@ def ordered_references(refs: DataFrame, mode: str, index: str = "index") -> Data
         "-year": [F.col("year").desc_nulls_last(), F.col(index).asc_nulls_last()],
     }
     return refs.orderBy(*keys[mode])
+
+
+def explained_by_versions(issues: DataFrame, versions: DataFrame, work: str, field: str, cited: str) -> DataFrame:
+    """Issues whose cited value is that of an older version of the work become warnings
+    that name both versions. ``versions``: (work, field, version, value)."""
+    latest = versions.groupBy(work).agg(F.max("version").alias("_latest"))
+    old = versions.groupBy(work, field, F.col("value").alias(cited)).agg(F.max("version").alias("_version"))
+    joined = issues.join(old, [work, field, cited], "left").join(latest, work, "left")
+    explained = F.col("_version") < F.col("_latest")
+    note = F.concat(F.lit("v"), F.col("_version").cast("string"), F.lit(" vs v"), F.col("_latest").cast("string"), F.lit(" update"))
+    return joined.withColumns(
+        {
+            "severity": F.when(explained, "warning").otherwise(F.col("severity")),
+            "details": F.when(explained, note).otherwise(F.col("details")),
+        }
+    ).drop("_version", "_latest")
+
+
+def better_of(first: DataFrame, second: DataFrame, key: str, issues: str) -> DataFrame:
+    """Per key the second attempt where it has fewer issues, else the first."""
+    a = first.select(key, F.struct(*first.columns).alias("_a"))
+    b = second.select(key, F.struct(*first.columns).alias("_b"))
+    both = a.join(b, key, "left")
+    fewer = F.coalesce(F.size(f"_b.{issues}") < F.size(f"_a.{issues}"), F.lit(False)) & F.col("_b").isNotNull()
+    return both.select(F.when(fewer, F.col("_b")).otherwise(F.col("_a")).alias("r")).select("r.*")

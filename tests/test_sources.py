@@ -120,3 +120,32 @@ def test_upsert_and_delete_are_idempotent(spark):
     once = deltas.upsert(base, delta, ["k"], "s")
     assert sorted(map(tuple, deltas.upsert(once, delta, ["k"], "s").collect())) == [(1, "a"), (2, "y")]
     assert deltas.delete(once, delta, ["k"]).count() == 1
+
+
+def test_docx_text(spark, tmp_path):
+    import zipfile
+
+    from citelake.sources.office import read_docx
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>One </w:t><w:t>line</w:t></w:r></w:p><w:p/></w:body></w:document>")
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in read_docx(spark, str(tmp_path)).collect()}
+    assert got == {"a.docx": "One line\n", "b.docx": None}
+
+
+def test_versions_and_second_attempts(spark):
+    from citelake.operators import results
+
+    issues = spark.createDataFrame(
+        [("w", "title", "Old", "error", "x"), ("w", "year", "1999", "error", "y")], "work string, field string, cited string, severity string, details string"
+    )
+    versions = spark.createDataFrame(
+        [("w", "title", 1, "Old"), ("w", "title", 2, "New"), ("w", "year", 2, "2001")], "work string, field string, version int, value string"
+    )
+    out = {r["field"]: (r["severity"], r["details"]) for r in results.explained_by_versions(issues, versions, "work", "field", "cited").collect()}
+    assert out == {"title": ("warning", "v1 vs v2 update"), "year": ("error", "y")}
+    first = spark.createDataFrame([(1, ["a", "b"], "s2"), (2, ["a"], "s2"), (3, ["a"], "s2")], "k int, issues array<string>, src string")
+    second = spark.createDataFrame([(1, ["a"], "ax"), (2, ["a"], "ax")], "k int, issues array<string>, src string")
+    assert {r["k"]: r["src"] for r in results.better_of(first, second, "k", "issues").collect()} == {1: "ax", 2: "s2", 3: "s2"}
