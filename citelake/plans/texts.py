@@ -68,11 +68,11 @@ def short_quotes(spark, sf_dir):
 
 
 @register(
-    """SELECT item_id, count(*) AS docs FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 200))) GROUP BY 1"""
+    """SELECT item_id, count(*) AS docs FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY 1"""
 )
 def quoted_passages(spark, sf_dir):
-    """Documents that quote a benchmark item's first 200 characters: windows of six words
-    meet by hash, and what meets is compared in full."""
+    """Documents that hold a benchmark item: windows of six words meet by hash, and what
+    meets is compared in full."""
 
     def windows(t):
         def hashes(w):
@@ -81,10 +81,10 @@ def quoted_passages(spark, sf_dir):
 
         return text.let(F.split(t, " "), hashes)
 
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("head"))
-    # the second to seventh word of the head are whole in any text that holds the head
-    probe = items.select("item_id", "head", F.get(windows(F.col("head")), F.lit(1)).alias("h"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    # the second to seventh word of an item are whole in any text that holds it
+    probe = items.select("item_id", "item", F.get(windows(F.col("item")), F.lit(1)).alias("h"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
     hits = docs.select("doc_id", "text", F.explode(F.array_distinct(windows(F.col("text")))).alias("h")).join(probe, "h")
-    found = hits.where(F.contains("text", F.col("head"))).select("item_id", "doc_id").distinct()
+    found = hits.where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
     return found.groupBy("item_id").agg(F.count("*").alias("docs"))
