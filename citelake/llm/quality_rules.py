@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import let
+from citelake.llm.common import let, materialize
 
 BLANKS = " \t\n\x0b\f\r"
 SPLIT = "[ \\t-\\r]+"
@@ -101,15 +101,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def frequent_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    min_docs: int = 20,
-    max_share: float = 0.1,
+    lines: DataFrame, docs: DataFrame, text_col: str, host_col: str, min_docs: int = 20, max_share: float = 0.1
 ) -> DataFrame:
     """``(_host, line, first)``: lines above the limits and the id that keeps them."""
-    lines = _lines(docs, id_col, text_col, host_col)
     held = lines.groupBy("_host", "line", "_text").agg(F.min("_id").alias("first"))
     counts = held.groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
     texts = docs.select(
@@ -130,10 +124,10 @@ def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min
     base = docs.select(
         F.struct(*columns).alias("_row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_key"), _let_stats(text).alias("_s")
     )
-    bad = frequent_lines(docs, id_col, text_col, host_col, min_docs, max_share)
+    lines = materialize(_lines(docs, id_col, text_col, host_col), "lines")  # hashes; read twice
+    bad = frequent_lines(lines, docs, text_col, host_col, min_docs, max_share)
     gone = (
-        _lines(docs, id_col, text_col, host_col)
-        .join(bad, ["_host", "line"])
+        lines.join(bad, ["_host", "line"])
         .where(~F.col("_id").eqNullSafe(F.col("first")))
         .select(F.xxhash64("_id", "_text").alias("_key"), "at", "n")
         .distinct()
