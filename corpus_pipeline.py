@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citelake.llm import jaccard_join, packing, quality_rules, secret_scan
 from citelake.llm.common import materialize
+from citelake.storage import ship_package
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,6 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, that of the smallest id."""
+    ship_package(spark)
     return jaccard_join.keep_one(docs).select(*COLUMNS)
 
 
@@ -32,6 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return packing.pack(docs, TOKENIZER)
 
 
