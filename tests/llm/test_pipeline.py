@@ -32,6 +32,17 @@ def test_stages_in_order_keep_what_they_should(spark, docs):
     assert {r["doc_id"] for r in packed.collect()} == ids
 
 
+def test_near_duplicates_by_five_words(spark):
+    """52 words, one changed: 43 of 53 shingles of five words, 47 of 53 of three."""
+    words = [f"w{k}" for k in range(52)]
+    near = [*words[:25], "other", *words[26:]]
+    far = [*words[:17], "other", *words[18:34], "another", *words[35:]]
+    rows = [(k, " ".join(w), "en", "s", 0) for k, w in enumerate((words, near, far))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert jaccard_join.keep_one(df).count() == 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
 def test_pipeline_runs_on_the_tables(spark):
     out = corpus_pipeline.run(spark, SF)
