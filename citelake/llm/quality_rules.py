@@ -3,8 +3,8 @@
 A document fails the base rules when it is short or mostly repeats itself. Of the others,
 lines are normalised (trimmed, white space runs as one blank, lower case, digits as 0) and
 hashed, and the distinct documents that hold a line are counted per host. A line is above
-the limits when more than ``min_docs`` documents of the host and more than ``max_share`` of
-them hold it. Documents of equal text count once, and a line stays in the first of its
+the limits when more than ``min_docs`` documents of the host hold it, however many the host
+has; where ``max_share`` is given, more than that share of them too. Documents of equal text count once, and a line stays in the first of its
 documents (the smallest id of the host), so one copy of whatever is repeated survives.
 Lines above the limits are removed, and a document is rejected as depleted when fewer than
 ``min_left`` of its words are left.
@@ -101,16 +101,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def frequent_lines(
-    lines: DataFrame, docs: DataFrame, text_col: str, host_col: str, min_docs: int = 20, max_share: float = 0.1
+    lines: DataFrame, docs: DataFrame, text_col: str, host_col: str, min_docs: int = 20, max_share: float | None = None
 ) -> DataFrame:
     """``(_host, line, first)``: lines above the limits and the id that keeps them."""
     held = lines.groupBy("_host", "line", "_text").agg(F.min("_id").alias("first"))
     counts = held.groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
+    often = counts.where(F.col("n_docs") > min_docs)
+    if max_share is None:
+        return often.select("_host", "line", "first")
     texts = docs.select(
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.xxhash64(text_col).alias("_text")
     )
     hosts = texts.distinct().groupBy("_host").agg(F.count("*").alias("n_texts"))
-    often = counts.where(F.col("n_docs") > min_docs)
     return (
         often.join(hosts, "_host")
         .where(F.col("n_docs") > F.col("n_texts") * max_share)
@@ -153,7 +155,7 @@ def verdicts(
     text_col: str = "text",
     host_col: str = "source",
     min_docs: int = 20,
-    max_share: float = 0.1,
+    max_share: float | None = None,
     min_left: float = 0.2,
 ) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``kept``, ``n_removed_words``.
@@ -178,7 +180,7 @@ def keep_good(
     text_col: str = "text",
     host_col: str = "source",
     min_docs: int = 20,
-    max_share: float = 0.1,
+    max_share: float | None = None,
     min_left: float = 0.2,
 ) -> DataFrame:
     """The documents that are kept, all columns, their texts without the removed lines."""

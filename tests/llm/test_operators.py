@@ -177,6 +177,19 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert kept[5] == rows[5][1].split("\n")[0] and kept[0] == rows[0][1] and 100 not in kept
 
 
+def test_a_line_limit_does_not_grow_with_the_host(spark):
+    rng = random.Random(4)
+    unique = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    boiler = unique(10)
+    rows = [(i, unique(60) + (f"\n{boiler}" if i < 25 else ""), "large") for i in range(400)]
+    rows += [(1000 + i, unique(60) + (f"\n{boiler}" if i < 20 else ""), "small") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(df).collect()}
+    assert {i for i, t in kept.items() if boiler in t} == {0, *range(1000, 1020)} and len(kept) == 430
+    counts = {r["doc_id"]: r["n_removed_words"] for r in quality_rules.verdicts(df).collect()}
+    assert {i for i, n in counts.items() if n} == set(range(1, 25))
+
+
 # 4 sharding
 
 
