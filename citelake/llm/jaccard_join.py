@@ -236,21 +236,9 @@ def _groups(batches, keys: tuple[str, ...]):
         yield last, pa.Table.from_batches(held)
 
 
-def join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 3,
-    num: int = NUM,
-    den: int = DEN,
-) -> DataFrame:
-    """One row per document: ``n_shingles`` and ``component_id``, the smallest id that links
-    reach from it, itself included.
-
-    Null and empty texts have no shingles and are alone, their own component. A component
-    whose ids are all null has a null id. Repeated rows and ids are rows of their own; equal
-    sets link. Other columns are not read. An empty table gives an empty one.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, more: list[str]):
+    """Rows with shingles, as ``(id_col, n_shingles, set_id, *more, root, component_id)``, and
+    rows without, as ``(id_col, n_shingles, *more)``; ``more`` names long columns of ``docs``."""
     classes = SizeClasses(num, den)
     schema = T.StructType(
         [
@@ -258,6 +246,7 @@ def join(
             T.StructField("n_shingles", T.LongType()),
             T.StructField("set_id", T.LongType()),
             T.StructField("sigs", T.ArrayType(T.LongType())),
+            *(docs.schema[c] for c in more),
         ]
     )
 
@@ -276,6 +265,7 @@ def join(
                     pa.array(n, pa.int64()),
                     pa.array(ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    *batch.columns[2:],
                 ],
                 schema=pa.schema(
                     [
@@ -283,11 +273,12 @@ def join(
                         ("n_shingles", pa.int64()),
                         ("set_id", pa.int64()),
                         ("sigs", pa.list_(pa.int64())),
+                        *(batch.schema.field(2 + k) for k in range(len(more))),
                     ]
                 ),
             )
 
-    signed = materialize(docs.select(id_col, text_col).mapInArrow(sign, schema), "signed")
+    signed = materialize(docs.select(id_col, text_col, *more).mapInArrow(sign, schema), "signed")
     members = signed.where("set_id is not null")
     # one row per distinct set, with its first document
     firsts = members.groupBy("set_id").agg(F.min(id_col).alias("first"), F.max("n_shingles").alias("n"))
@@ -358,16 +349,52 @@ def join(
     )
     smallest = materialize(smallest, "classes")
     of_root = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_set = join_back(smallest, of_root, "root").select("set_id", "component_id")
-    some = members.select(id_col, "n_shingles", "set_id").join(of_set, "set_id")
-    none = signed.where("set_id is null").withColumn("component_id", F.col(id_col))
+    of_set = join_back(smallest, of_root, "root").select("set_id", "root", "component_id")
+    some = members.select(id_col, "n_shingles", "set_id", *more).join(of_set, "set_id")
+    return some, signed.where("set_id is null").select(id_col, "n_shingles", *more)
+
+
+def join(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    num: int = NUM,
+    den: int = DEN,
+) -> DataFrame:
+    """One row per document: ``n_shingles`` and ``component_id``, the smallest id that links
+    reach from it, itself included.
+
+    Null and empty texts have no shingles and are alone, their own component. A component
+    whose ids are all null has a null id. Repeated rows and ids are rows of their own; equal
+    sets link. Other columns are not read. An empty table gives an empty one.
+    """
+    some, none = _components(docs, id_col, text_col, width, num, den, [])
+    none = none.withColumn("component_id", F.col(id_col))
     return some.select(id_col, "n_shingles", "component_id").union(none.select(id_col, "n_shingles", "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents whose id is their component's smallest, all columns; those without
-    shingles stay. Rows of one id go or stay together."""
-    found = join(docs, id_col, text_col, **params)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
-    return kept
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    num: int = NUM,
+    den: int = DEN,
+) -> DataFrame:
+    """One row of each component, all columns: that of the smallest id, then set and text;
+    null ids come last. Of rows of equal id and text any one stays. Rows without shingles
+    all stay."""
+    text = F.xxhash64(text_col)
+    some, none = _components(docs.withColumn("_text", text), id_col, text_col, width, num, den, ["_text"])
+    # equal rows by their number, so that one component has one candidate for each
+    rows = some.groupBy("root", id_col, "set_id", "_text").agg(F.count("*").alias("times"))
+    order = F.struct(F.isnull(id_col).alias("last"), F.col(id_col).alias("_head"), "set_id", F.col("_text").alias("_head_text"), "times")
+    heads = rows.groupBy("root").agg(F.min(order).alias("h")).select("h._head", "h._head_text", "h.times")
+    stay = none.select(F.col(id_col).alias("_head"), F.col("_text").alias("_head_text"), F.lit(1).cast("long").alias("times"))
+    heads = materialize(heads.union(stay), "heads")
+    same = F.col(id_col).eqNullSafe(F.col("_head")) & (text == F.col("_head_text"))
+    once = docs.join(heads.where("times = 1"), same, "left_semi")
+    again = docs.join(heads.where("times > 1"), same, "left_semi")
+    again = again.withColumn("_text", text).dropDuplicates([id_col, "_text"]).drop("_text")
+    return once.union(again)

@@ -313,6 +313,17 @@ def test_components_match_all_pairs(spark, docs, corpus, none):
     assert kept.columns == docs.columns and kept.where("doc_id between 200 and 219").count() < 20
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "en")] * 3 + [(None, b, "en")] * 4  # repeated rows, null ids alone
+    rows += [(2, c, "en"), (3, c.upper(), "en"), (3, d, "en"), (None, d, "en")]  # one id with two texts
+    rows += [(4, f"{d}  ", "de"), (5, None, "en"), (5, None, "en"), (None, " ", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = [(1, a, "en"), (None, b, "en"), (2, c, "en"), (3, d, "en"), (5, None, "en"), (5, None, "en"), (None, " ", "en")]
+    assert multiset(jaccard_join.keep_one(df), "doc_id", "text", "lang") == Counter(want)
+
+
 def test_links_at_the_threshold(spark):
     """Sets that share exactly nine tenths of their union link; one element less doesn't."""
     rng = random.Random(5)
