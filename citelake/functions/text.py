@@ -166,12 +166,14 @@ def short_quote(text: Column, most: int = 400) -> Column:
     return F.when(F.length(text) > most, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
-def text_of_inverted_index(index: Column, most: int = 1500) -> Column:
-    """The first ``most`` words of a map from words to their positions."""
+def text_of_inverted_index(index: Column, most: int | None = None) -> Column:
+    """The text of a map from words to their positions; of an abstract, say, its first
+    ``most`` characters."""
     pairs = F.flatten(
         F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("w"))))
     )
-    return F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, most), lambda p: p["w"]), " ")
+    whole = F.array_join(F.transform(F.array_sort(pairs), lambda p: p["w"]), " ")
+    return whole if most is None else F.left(whole, F.lit(most))
 
 
 def expand_marker(marker: Column, widest: int = 50) -> Column:
