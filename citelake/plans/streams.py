@@ -28,7 +28,7 @@ def stream_window_counts(spark, sf_dir):
     SELECT user_id, min(ts) AS begin, max(ts) AS "end", count(*) AS checks FROM s GROUP BY user_id, g"""
 )
 def stream_sessions(spark, sf_dir):
-    sessions = streams.session_counts(_stream(spark, sf_dir), "ts", "user_id")
+    sessions = streams.session_counts(_stream(spark, sf_dir), "ts", "user_id", late=None)
     done = streams.run_to_end(sessions, "complete", "sessions")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin", "end")})
 
@@ -41,5 +41,5 @@ def stream_running_totals(spark, sf_dir):
 
 @register("""SELECT event_id, event_type FROM events""")
 def stream_deduplicated(spark, sf_dir):
-    rows = streams.deduplicated(_stream(spark, sf_dir), "ts", ["event_id"])
+    rows = streams.deduplicated(_stream(spark, sf_dir), "ts", ["event_id"], late=None)
     return streams.run_to_end(rows.select("event_id", "event_type"), "append", "distinct")

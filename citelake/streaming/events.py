@@ -1,6 +1,7 @@
 """Streams of usage events: windows, sessions, totals, deduplication, deltas.
 
-State is keyed by window or user and dropped behind the watermark. Batch functions of the
+State is keyed by window or user and dropped behind the watermark; where ``late`` is None
+there is none, rows of any age count and state stays. Batch functions of the
 same name semantics are in ``citelake.operators``; tests hold streams against them.
 """
 
@@ -13,12 +14,12 @@ from citelake.storage import new_path
 
 
 def read_events(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """The table ``name``, one file or a folder of them: the glob fits its name alone."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
     )
 
 
@@ -27,8 +28,9 @@ def window_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour",
     return timed.groupBy(F.window(ts, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def session_counts(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def session_counts(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark(ts, late)
     out = timed.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("checks"), F.max(ts).alias("end"))
     return out.select(user, F.col("w.start").alias("begin"), "end", "checks")
 
@@ -37,7 +39,9 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def deduplicated(events: DataFrame, ts: str, key: list[str], late: str = "10 minutes") -> DataFrame:
+def deduplicated(events: DataFrame, ts: str, key: list[str], late: str | None = "10 minutes") -> DataFrame:
+    if late is None:
+        return events.dropDuplicates(key)
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
