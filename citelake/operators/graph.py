@@ -1,8 +1,9 @@
 """Citation-graph operators over edges ``(citing, cited)``.
 
 Pairs come from joins on a shared endpoint after edges are made distinct. A work cited by a
-large part of the corpus would make a square of pairs, so pair counts are asked for a set of
-``sources``: the joins then grow with the sources' edges, not with all pairs.
+large part of the corpus makes a square of pairs. Pair counts can be asked for a set of
+``sources``: the joins then grow with the sources' edges. Without one every work is a source;
+a shared endpoint of many edges is dealt over blocks, so that no task has its whole square.
 """
 
 from __future__ import annotations
@@ -11,21 +12,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cocited(edges: DataFrame, sources: DataFrame, citing: str, cited: str, least: int = 2) -> DataFrame:
+BLOCK = 1000
+
+
+def _meet(mine: DataFrame, e: DataFrame, key: str) -> DataFrame:
+    """Sources and edges that share ``key``, the sources of a key in blocks of ``BLOCK``."""
+    blocks = e.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = mine.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64("source"), F.col("_blocks")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    met = e.join(blocks, key).withColumn("_block", all_blocks)
+    return dealt.drop("_blocks").join(met.drop("_blocks"), [key, "_block"]).drop("_block")
+
+
+def _mine(e: DataFrame, sources: DataFrame | None, own: str, shared: str) -> DataFrame:
+    rows = e.select(F.col(own).alias("source"), shared)
+    return rows if sources is None else rows.join(sources.select(F.col(own).alias("source")).distinct(), "source")
+
+
+def cocited(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str, least: int = 2) -> DataFrame:
     """Works cited together with each source work by ``least`` or more citing works."""
     e = edges.select(citing, cited).distinct()
-    mine = e.join(sources.select(F.col(cited).alias("source")).distinct(), F.col(cited) == F.col("source"), "inner").select(citing, "source")
-    pairs = mine.join(e, citing).where(F.col("source") != F.col(cited))
+    pairs = _meet(_mine(e, sources, cited, citing), e, citing).where(F.col("source") != F.col(cited))
     return pairs.groupBy("source", cited).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def coupled(edges: DataFrame, sources: DataFrame, citing: str, cited: str) -> DataFrame:
+def coupled(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str) -> DataFrame:
     """Works that share references with each source work: overlap, its share of the source's
     references in percent, Jaccard index."""
     e = edges.select(citing, cited).distinct()
     degree = e.groupBy(citing).agg(F.count("*").alias("degree"))
-    mine = e.join(sources.select(F.col(citing).alias("source")).distinct(), F.col(citing) == F.col("source")).select("source", cited)
-    shared = mine.join(e, cited).where(F.col("source") != F.col(citing)).groupBy("source", citing).agg(F.count("*").alias("overlap"))
+    shared = _meet(_mine(e, sources, citing, cited), e, cited).where(F.col("source") != F.col(citing)).groupBy("source", citing).agg(F.count("*").alias("overlap"))
     a = degree.select(F.col(citing).alias("source"), F.col("degree").alias("da"))
     out = shared.join(a, "source").join(degree.withColumnRenamed("degree", "db"), citing)
     return out.select(

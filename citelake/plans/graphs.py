@@ -1,6 +1,7 @@
 """Citation graph: ``lineitem`` gives edges, an order citing a part.
 
-Sources are the works of a stated kind, not a sample: orders of the highest total prices.
+The queries with SQL take the works of a stated kind as sources: parts of the largest sizes,
+orders of the highest total prices. Those that end in ``_all`` take every part or order.
 """
 
 from __future__ import annotations
@@ -43,6 +44,16 @@ def jaccard_overlap(spark, sf_dir):
     return graph.coupled(_edges(spark, sf_dir), sources, "l_orderkey", "l_partkey")
 
 
+@register()
+def co_citation_counts_all(spark, sf_dir):
+    return graph.cocited(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
+
+
+@register()
+def jaccard_overlap_all(spark, sf_dir):
+    return graph.coupled(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
+
+
 @register(
     f"""
     WITH {_E}, own AS (SELECT p_partkey FROM part WHERE p_size <= 25),
@@ -91,7 +102,16 @@ def clique_edges(spark, sf_dir):
     SELECT * FROM p ORDER BY pct DESC, overlap DESC, shared DESC, l_orderkey LIMIT 20"""
 )
 def reranked_candidates(spark, sf_dir):
-    found = jaccard_overlap(spark, sf_dir).groupBy("l_orderkey").agg(
+    return _reranked(jaccard_overlap(spark, sf_dir))
+
+
+@register()
+def reranked_candidates_all(spark, sf_dir):
+    return _reranked(jaccard_overlap_all(spark, sf_dir))
+
+
+def _reranked(overlaps):
+    found = overlaps.groupBy("l_orderkey").agg(
         F.sum("overlap").alias("shared"), F.max("overlap").alias("overlap"), F.max("pct").alias("pct")
     )
     return graph.rerank(found, 20, "l_orderkey")
