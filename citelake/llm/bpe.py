@@ -357,11 +357,11 @@ def loaded(content: bytes, kind=Bpe):
     return kept((kind.__name__, content), lambda: kind(content))
 
 
-def frequent_words(docs: DataFrame, spec, text_col: str = "text", size: int = 32_768, least: int = 8) -> dict[str, list[int]]:
+def frequent_words(docs: DataFrame, spec, text_col: str = "text", size: int = 32_768) -> dict[str, list[int]]:
     """The corpus' ``size`` most frequent words with their ids.
 
-    Tasks count the chunks of each run of texts and pass on those met ``least`` times in it;
-    which words the lexicon holds changes speed, never ids.
+    Tasks pass on the count of every word of each run of texts, so the sums are those of the
+    corpus, however it is cut. Which words the lexicon holds changes speed, never ids.
     """
 
     def count(batches):
@@ -370,10 +370,9 @@ def frequent_words(docs: DataFrame, spec, text_col: str = "text", size: int = 32
         def flush(held):
             hashes = np.concatenate([h for _, h, *_ in held])
             uniq, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            often = n >= least
             ends = np.cumsum([len(h) for _, h, *_ in held])
             words: Counter[str] = Counter()
-            for k, c in zip(at[often].tolist(), n[often].tolist(), strict=True):
+            for k, c in zip(at.tolist(), n.tolist(), strict=True):
                 p = int(np.searchsorted(ends, k, "right"))
                 raw, h, _, first, last = held[p]
                 k -= int(ends[p]) - len(h)

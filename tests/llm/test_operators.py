@@ -406,6 +406,16 @@ def test_long_words_merge_alike():
         assert model._merge(list(ids)) == model._merge_long(list(ids))
 
 
+def test_spread_out_words_are_counted(spark):
+    """A word that is met once in each of many batches is more frequent than one met nine times in one."""
+    sc = spark.sparkContext
+    spec = sc.broadcast(open(WORD_BPE, "rb").read())
+    rows = [(k, "once" + (" often" * 9 if k == 0 else "")) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
+    first = bpe.frequent_words(df, spec, size=1)
+    assert [w.strip("Ġ▁ ").removesuffix("</w>") for w in first] == ["once"]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w: [len(w), k] for k, w in enumerate(["tap", "taps", "top", "tops", "été", "a", "stops", "x" * 40])}
     block = lexicon.compile_words(words)
