@@ -20,8 +20,9 @@ TITLE_LABELS = (
 )
 #: Words that carry no meaning in a title.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
-#: Code points written for an apostrophe or a quote.
-APOSTROPHES = "\u2018\u2019\u201a\u201b\u2032\u02bb\u02bc\u02bd\u02c8\u02ca\u02cb\u0060\u00b4\u055a\uff07"
+#: Code points written for an apostrophe. The acute accent U+00B4 is none: in
+#: extracted text it is a mark that belongs to a letter.
+APOSTROPHES = "\u2019\u2018\u02bc\u02c8\u0060"
 
 
 def let(value: Column, body) -> Column:

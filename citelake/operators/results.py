@@ -11,21 +11,27 @@ from citelake.operators.deltas import latest_wins
 FINAL = ("verified", "error", "warning", "suggestion", "unverified", "hallucination")
 
 
-def effective_status(status: Column, pending: Column, fabricated: Column, found_elsewhere: Column, has: dict[str, Column], complete: Column) -> Column:
-    """What a reference counts as: an open assessment is still checking; a fabrication that
-    a search found after all is verified; issues of a kind decide over the stored status, and
-    a stored kind without its issues is verified; anything unfinished is unchecked once the
-    check is complete."""
+def effective_status(status: Column, pending: Column, assessed: Column, found_as_cited: Column, has: dict[str, Column], complete: Column) -> Column:
+    """What a reference counts as: an open assessment is still checking, as is an unverified
+    reference that none has been made of while the check runs; what a search found as cited
+    is verified, or a suggestion where there is one; then a fabrication stays one, issues of a
+    kind decide over the stored status, and a stored kind without its issues is verified.
+    Anything unfinished is unchecked once the check is complete."""
+    low = F.lower(F.trim(status))
     return (
-        F.when(pending, "checking")
-        .when(fabricated & found_elsewhere, "verified")
-        .when(fabricated, "hallucination")
+        F.when(pending & ~assessed, "checking")
+        .when((low == "unverified") & ~assessed & ~complete, "checking")
+        .when((low == "hallucination") & found_as_cited, "verified")
+        .when(low == "hallucination", "hallucination")
+        .when(found_as_cited, F.when(has["suggestion"], "suggestion").otherwise("verified"))
         .when(has["error"], "error")
         .when(has["warning"], "warning")
         .when(has["suggestion"], "suggestion")
-        .when(status.isin("error", "warning", "suggestion"), "verified")
-        .when(~status.isin(*FINAL), F.when(complete, "unchecked").otherwise("checking"))
-        .otherwise(status)
+        .when(low.isin("error", "warning", "suggestion"), "verified")
+        .when(low.isin(*FINAL), low)
+        .when(complete, "unchecked")
+        .when(low == "pending", "pending")
+        .otherwise("checking")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citelake.operators.passages import holders
 from citelake.functions import text
 from citelake.plans.tables import table
 from citelake.registry import register
@@ -71,20 +72,7 @@ def short_quotes(spark, sf_dir):
     """SELECT item_id, count(*) AS docs FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY 1"""
 )
 def quoted_passages(spark, sf_dir):
-    """Documents that hold a benchmark item: windows of six words meet by hash, and what
-    meets is compared in full."""
-
-    def windows(t):
-        def hashes(w):
-            at = F.sequence(F.lit(0), F.greatest(F.size(w) - 6, F.lit(0)))
-            return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(6)]))
-
-        return text.let(F.split(t, " "), hashes)
-
+    """Documents that hold a benchmark item, whatever its length."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    # the second to seventh word of an item are whole in any text that holds it
-    probe = items.select("item_id", "item", F.get(windows(F.col("item")), F.lit(1)).alias("h"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
-    hits = docs.select("doc_id", "text", F.explode(F.array_distinct(windows(F.col("text")))).alias("h")).join(probe, "h")
-    found = hits.where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
-    return found.groupBy("item_id").agg(F.count("*").alias("docs"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return holders(docs, items).groupBy("item_id").agg(F.count("*").alias("docs"))

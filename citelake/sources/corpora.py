@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.functions.text import arxiv_id
+
 PAPERS = (
     "paper_id string, title string, venue string, year int, doi string, arxiv_id string, authors array<string>, "
     "source_url string, title_key string"
 )
 #: OpenAlex work types that are citable texts.
-WORK_TYPES = ("article", "book", "book-chapter", "dissertation", "preprint")
+WORK_TYPES = ("article", "book-chapter", "preprint", "review", "dissertation")
 #: Publication elements of the DBLP dump.
 DBLP_TAGS = ("article", "inproceedings", "proceedings", "book", "incollection", "phdthesis", "mastersthesis")
 
@@ -30,10 +32,16 @@ _OPENALEX = (
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Plain or gzip JSON lines with malformed lines in ``_corrupt``. Gzip files don't
-    split: rows are dealt anew after the read so that one large file isn't one task's."""
+    """Plain or gzip JSON lines with malformed lines in ``_corrupt``. Gzip files don't split:
+    where the path names such files, rows are dealt anew, one task for 32 MB of gzip, so that
+    a large file isn't one task's; others are split by the scan."""
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    if not path.endswith(".gz"):
+        return rows
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    parts = sum(-(-f.getLen() // (32 << 20)) for f in found)
+    return rows.repartition(int(parts)) if parts > len(found) else rows
 
 
 def usable(rows: DataFrame, most_malformed: int | None = None) -> DataFrame:
@@ -114,7 +122,7 @@ def dblp(spark: SparkSession, path: str) -> DataFrame:
             venue=F.coalesce("journal", "booktitle", F.get("school", F.lit(0)), F.get("publisher", F.lit(0))),
             year=F.col("year"),
             doi=F.regexp_extract(F.get(doi, F.lit(0)), r"doi\.org/(.+)$", 1),
-            arxiv_id=F.regexp_extract(F.get(arxiv, F.lit(0)), r"abs/([^v]+)", 1),
+            arxiv_id=arxiv_id(F.get(arxiv, F.lit(0))),
             authors=F.coalesce("author", "editor", F.array().cast("array<string>")),
             source_url=F.concat(F.lit("https://dblp.org/rec/"), F.col("_key")),
         )

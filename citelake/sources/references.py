@@ -23,6 +23,10 @@ def bibliography_section(text: Column) -> Column:
     return F.when(F.size(parts) > 1, F.trim(F.get(F.split(last, _AFTER, 2), F.lit(0))))
 
 
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def numbered_entries(section: Column) -> Column:
     """Entries after ``[n]`` heads at line starts: at least three heads, the smallest 1 or 2."""
     heads = F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^\s*\[([0-9]+)\]"), F.lit(1)), lambda h: h.try_cast("int"))
@@ -35,7 +39,7 @@ def numbered_entries(section: Column) -> Column:
 def vancouver_entries(section: Column) -> Column:
     """Entries after ``n.`` heads: two or more, three fifths with a year; short ones go and
     labels are made dense."""
-    bodies = F.slice(F.split(section, r"(?m)^\s*[0-9]{1,3}\.\s+", -1), 2, 100000)
+    bodies = _after_first(F.split(section, r"(?m)^\s*[0-9]{1,3}\.\s+", -1))
     entries = F.filter(F.transform(bodies, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: F.length(t) >= 30)
     dated = F.size(F.filter(entries, lambda t: t.rlike(r"\b(?:19|20)[0-9]{2}\b")))
     rows = F.transform(entries, lambda t, i: F.struct((i + 1).alias("n"), t.alias("entry")))
@@ -48,7 +52,7 @@ def bibitems(tex: Column) -> Column:
     head = r"\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}"
     inside = F.regexp_replace(tex, r"(?s)\\end\{thebibliography\}.*", "")
     keys = F.regexp_extract_all(inside, F.lit(head), F.lit(1))
-    bodies = F.slice(F.split(inside, head, -1), 2, 100000)
+    bodies = _after_first(F.split(inside, head, -1))
     return F.transform(
         F.arrays_zip(keys.alias("key"), bodies.alias("body")),
         lambda z: F.struct(z["key"].alias("key"), F.trim(F.regexp_replace(z["body"], r"\s+", " ")).alias("body")),
