@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,21 +18,58 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where
-    that is unset (single-machine tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_dir()
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a
+    local master has one of our own; a cluster has none, and this raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or "file://" + _own_dir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path for one table; the tables of an application are in one folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage with a copy
-    that survives the loss of any executor."""
+    that survives the loss of any executor. It stays until ``discard``, or until its
+    application's folder is deleted."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.materialized_at = path
+    return read
+
+
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.materialized_at)
+
+
+def written() -> frozenset[str]:
+    """The tables of ``materialize`` that are there."""
+    return frozenset(_WRITTEN)
+
+
+def only(df: DataFrame, name: str, before: frozenset[str]) -> DataFrame:
+    """``materialize``, and delete all other tables that are not among ``before``, that is,
+    those that the work on ``df`` has written."""
+    kept = materialize(df, name)
+    for path in set(_WRITTEN) - before - {kept.materialized_at}:
+        _delete(df.sparkSession, path)
+    return kept
 
 
 _SHIPPED: set[str] = set()
