@@ -12,6 +12,13 @@ bigram of a block once, as a 64-bit hash with its count, to the hash's bucket. A
 sums the counts and sends each block the totals it asked for. A frequent word or pair so
 costs one entry per block, however hot it is. The blocks and the totals are written to the
 shared folder; the learning step reads the blocks of deleted documents alone.
+
+Memory: a task holds one block or one bucket at a time, about 100 bytes for each of its
+``block_tokens`` tokens or ``_BUCKET_KEYS`` keys, besides one Arrow batch. Keys travel as
+differences, counts in as many bytes as the largest one takes. What is sent is linear in
+the corpus: no row is empty, so there are never more rows than keys. Rows get short where
+blocks and buckets are both many; larger blocks, for executors that can hold them, keep
+them long.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ from citelake.llm.textarrays import mix, slices, words
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
-_BLOCK_TOKENS = 1_000_000
-_TOTALS = "block long, part int, bucket int, kind int, kept binary, every binary, types long"
+_BLOCK_TOKENS = 500_000
+_BUCKET_KEYS = 1_000_000
+_TOTALS = "block long, part int, bucket int, kind int, n int, kept binary, every binary, types long"
 _SENT = "bucket int, kind int, block long, part int, keys binary, counts binary"
 _EVENTS = "cvw long, cv long, cw long, n long"
 
@@ -45,12 +53,29 @@ def _part(id_col: str):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """64-bit values by byte planes, which compress where high bytes repeat."""
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers in as few bytes as the largest takes, by byte planes, which compress."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+
+
+def _unpack(data, n: int) -> np.ndarray:
+    width = len(data) // n if n else 1
+    planes = np.frombuffer(data, np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel()
+
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys by their differences."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+def _unpack_keys(data) -> np.ndarray:
+    return np.cumsum(_unpack(data, len(data) // 8), dtype=np.uint64)
+
+
+def _cells(table: pa.Table | pa.RecordBatch, column: str) -> list:
+    """The buffers of a binary column, not copied."""
+    return [x.as_buffer() for x in table.column(column)]
 
 
 def _encode(batches, block_tokens: int):
@@ -72,7 +97,7 @@ def _encode(batches, block_tokens: int):
                 pa.array([pa.chunked_array(ids).to_pylist()], pa.list_(id_type)),
                 pa.array([np.concatenate(lens).tolist()], pa.list_(pa.int64())),
                 pa.array([uniq.tobytes()], pa.binary()),
-                pa.array([at.astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([_pack(at)], pa.binary()),
                 pa.array([len(at)], pa.int64()),
             ],
             names=["block", "part", "ids", "lens", "uniq", "tokens", "n_tokens"],
@@ -106,9 +131,10 @@ def _encode(batches, block_tokens: int):
 class _Block:
     """A block's words and distinct bigrams, each sorted by its 64-bit key."""
 
-    def __init__(self, row: dict):
-        self.words = np.frombuffer(row["uniq"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+    def __init__(self, rows: pa.Table | pa.RecordBatch, row: int = 0):
+        self.number, self.part = rows.column("block")[row].as_py(), rows.column("part")[row].as_py()
+        self.words = np.frombuffer(rows.column("uniq")[row].as_buffer(), np.uint64)
+        self.tokens = _unpack(rows.column("tokens")[row].as_buffer(), rows.column("n_tokens")[row].as_py()).astype(np.int64)
         end = int(np.searchsorted(self.words, _END))
         before = np.concatenate([[end], self.tokens[:-1]])
         codes, self.pair, self.pair_n = np.unique(
@@ -129,23 +155,22 @@ def _send(batches, buckets: int):
     """Every distinct key of a block with its count, cut by ranges of keys."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
     for batch in batches:
-        for row in batch.to_pylist():
-            block = _Block(row)
+        for row in range(len(batch)):
+            block = _Block(batch, row)
             word_n = np.bincount(block.tokens, minlength=len(block.words))
             for kind, keys, counts in ((0, block.words, word_n), (1, block.pair_keys, block.pair_n[block.order])):
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                full = np.flatnonzero(cuts[1:] > cuts[:-1])
+                runs = list(zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True))
+                counted = block.part != HELD_OUT
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full, pa.int32()),
-                        pa.array([kind] * len(full), pa.int32()),
-                        pa.array([row["block"]] * len(full), pa.int64()),
-                        pa.array([row["part"]] * len(full), pa.int32()),
-                        pa.array([_pack(keys[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
-                        pa.array(
-                            [b"" if row["part"] == HELD_OUT else _pack(counts[cuts[b] : cuts[b + 1]]) for b in full],
-                            pa.binary(),
-                        ),
+                        pa.array(np.full(len(full), kind), pa.int32()),
+                        pa.array(np.full(len(full), block.number), pa.int64()),
+                        pa.array(np.full(len(full), block.part), pa.int32()),
+                        pa.array([_pack_keys(keys[i:j]) for i, j in runs], pa.binary()),
+                        pa.array([_pack(counts[i:j]) if counted else b"" for i, j in runs], pa.binary()),
                     ],
                     names=["bucket", "kind", "block", "part", "keys", "counts"],
                 )
@@ -153,52 +178,53 @@ def _send(batches, buckets: int):
 
 def _sum_up(table: pa.Table) -> pa.Table:
     """Totals of one bucket, as each block listed its keys."""
-    rows = table.to_pylist()
-    keys = [_unpack(r["keys"]) for r in rows]
+    parts = table.column("part").to_numpy()
+    keys = [_unpack_keys(k) for k in _cells(table, "keys")]
+    ends = np.cumsum([0, *map(len, keys)])
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
     kept, every = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
-    places, start = [], 0
-    for row, k in zip(rows, keys, strict=True):
-        place = at[start : start + len(k)]
-        start += len(k)
-        places.append(place)
-        if row["part"] != HELD_OUT:
-            counts = _unpack(row["counts"]).astype(np.int64)
-            every[place] += counts  # a block lists a key once
-            if row["part"] == KEPT:
-                kept[place] += counts
-    types = int((every > 0).sum())
+    places = [at[i:j] for i, j in zip(ends, ends[1:])]
+    for part, place, counts in zip(parts, places, _cells(table, "counts"), strict=True):
+        if part != HELD_OUT:
+            n = _unpack(counts, len(place))
+            every[place] += n  # a block lists a key once
+            if part == KEPT:
+                kept[place] += n
+    types = np.zeros(len(parts), np.int64)
+    types[0] = (every > 0).sum()
     return pa.table(
         {
-            "block": pa.array([r["block"] for r in rows], pa.int64()),
-            "part": pa.array([r["part"] for r in rows], pa.int32()),
-            "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
-            "kind": pa.array([r["kind"] for r in rows], pa.int32()),
-            "kept": pa.array(
-                [_pack(kept[p]) if r["part"] == DELETED else b"" for r, p in zip(rows, places, strict=True)], pa.binary()
-            ),
+            "block": table.column("block"),
+            "part": table.column("part"),
+            "bucket": table.column("bucket"),
+            "kind": table.column("kind"),
+            "n": pa.array(np.diff(ends), pa.int32()),
+            "kept": pa.array([_pack(kept[p]) if part == DELETED else b"" for part, p in zip(parts, places, strict=True)], pa.binary()),
             "every": pa.array([_pack(every[p]) for p in places], pa.binary()),
-            "types": pa.array([types if k == 0 else 0 for k in range(len(rows))], pa.int64()),
+            "types": pa.array(types),
         }
     )
 
 
 def _totals(block: _Block, table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Totals of the block's words and of its bigrams."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-    one, two = (
-        np.concatenate([np.zeros(0, np.uint64), *[_unpack(r[column]) for r in rows if r["kind"] == kind]]).astype(np.int64)
-        for kind in (0, 1)
-    )
-    return one, block.in_pair_order(two)
+    """Totals of the block's words and of its bigrams, filled in bucket by bucket."""
+    kinds, buckets, lens = (table.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+    out = np.zeros(len(block.words), np.int64), np.zeros(len(block.pair_keys), np.int64)
+    filled = [0, 0]
+    cells = _cells(table, column)
+    for k in np.lexsort((buckets, kinds)).tolist():
+        kind, n = kinds[k], int(lens[k])
+        out[kind][filled[kind] : filled[kind] + n] = _unpack(cells[k], n)
+        filled[kind] += n
+    return out[0], block.in_pair_order(out[1])
 
 
 def _events(left: pa.Table, right: pa.Table) -> pa.Table:
     """The deleted bigrams of a block with their counts among the kept documents."""
-    rows = left.to_pylist()
-    if not rows:
+    if not len(left):
         return pa.table({c: pa.array([], pa.int64()) for c in ("cvw", "cv", "cw", "n")})
-    block = _Block(rows[0])
+    block = _Block(left)
     one, two = _totals(block, right, "kept")
     t = pa.table({"cvw": two, "cv": one[block.v], "cw": one[block.w], "n": block.pair_n.astype(np.int64)})
     return t.group_by(["cvw", "cv", "cw"]).aggregate([("n", "sum")]).rename_columns(["cvw", "cv", "cw", "n"])
@@ -245,7 +271,13 @@ def learn_weights(events: DataFrame, kept_tokens: int, types: int, rounds: int =
     return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = _BLOCK_TOKENS) -> DataFrame:
+def score(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_tokens: int = _BLOCK_TOKENS,
+    bucket_keys: int = _BUCKET_KEYS,
+) -> DataFrame:
     """One row per document: ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-half unigrams) and ``score``, both log10 probabilities of the text.
 
@@ -269,10 +301,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     )
 
     blocks = materialize(rows.mapInArrow(lambda batches: _encode(batches, block_tokens), blocks_schema), "blocks")
-    # a bucket for a few blocks' worth of keys, so that a bucket's size is bounded too
+    # the more tokens, the more buckets, so that a bucket's size is bounded too
     sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, sum(sizes.values()) // block_tokens, 8)
+    buckets = max(shuffle, sum(sizes.values()) // bucket_keys, 8)
     sent = blocks.mapInArrow(lambda batches: _send(batches, buckets), _SENT)
     totals = materialize(sent.groupBy("bucket", "kind").applyInArrow(_sum_up, _TOTALS), "totals")
     types = totals.where("kind = 0").agg(F.sum("types")).first()[0] or 0
@@ -297,19 +329,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     )
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        block = _Block(row)
+        block = _Block(left)
         one, two = _totals(block, right, "every")
         cv = one[block.v]
-        lam = weights[np.where(cv > 0, np.frexp(cv.astype(float))[1], 0)]
-        p = lam[:, 0] * two / np.maximum(cv, 1) + lam[:, 1] * one[block.w] / max(n, 1) + lam[:, 2] / (types + 1)
-        lens = np.array(row["lens"], np.int64)
+        context = np.frexp(cv.astype(float))[1]  # 0 for a count of 0
+        p = weights[context, 0] * two / np.maximum(cv, 1)
+        p += weights[context, 1] * one[block.w] / max(n, 1) + weights[context, 2] / (types + 1)
+        lens = left.column("lens").combine_chunks().flatten().to_numpy()
         at = np.concatenate([[0], np.cumsum(lens)[:-1]])
         base = np.log10((one + 0.5) / (n + 0.5 * (types + 1)))
         return pa.table(
             [
                 left.column("ids").combine_chunks().flatten(),
-                pa.array([row["part"] == HELD_OUT] * len(lens)),
+                pa.array(np.full(len(lens), block.part == HELD_OUT)),
                 pa.array(lens),
                 pa.array(np.add.reduceat((one > 0).astype(np.int64)[block.tokens], at)),
                 pa.array(np.full(len(lens), n, np.int64)),
