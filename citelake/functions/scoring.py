@@ -147,3 +147,16 @@ def triage(status: Column, overlap: Column) -> Column:
 def model_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
     """US dollars at rates a million tokens, 1 and 4 where unknown."""
     return (tokens_in * F.coalesce(rate_in, F.lit(1.0)) + tokens_out * F.coalesce(rate_out, F.lit(4.0))) / 1e6
+
+
+def visible(owner: Column, team: Column, user: int | None, teams: list | None = None) -> Column:
+    """Rows a user may read: their own and those of their teams; all without a user."""
+    if user is None:
+        return F.lit(True)
+    own = owner == user
+    return F.coalesce(own | team.isin(*teams) if teams else own, F.lit(False))
+
+
+def cancelled(status: Column, wanted: Column, final: tuple[str, ...]) -> Column:
+    """``cancelled`` for wanted rows that aren't in a final status."""
+    return F.when(wanted & ~status.isin(*final), "cancelled").otherwise(status)

@@ -132,3 +132,66 @@ def first_seen_order(rows: DataFrame, key: Column, seq: str) -> DataFrame:
     keyed = rows.withColumn("_key", key)
     first = keyed.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*rows.columns), seq).alias("_r"))
     return first.select("_r.*").union(keyed.where("_key is null").drop("_key"))
+
+
+def window_start(ts: str, day: str | None) -> Column:
+    """Rows from a day on; all rows for None."""
+    return F.lit(True) if day is None else F.col(ts) >= F.lit(day).cast("timestamp_ntz")
+
+
+def unattributed(rows: DataFrame, user: str, sums: list[str], in_window: Column) -> DataFrame:
+    """One row of totals over the rows that belong to no user."""
+    return totals(rows.where(F.col(user).isNull() & in_window), {c: F.col(c) for c in sums}, {}, {})
+
+
+def lifetime_usage(calls: DataFrame, rates: DataFrame, model: str) -> DataFrame:
+    """Calls, tokens and cost of each model, and of all (``total``). Rates are for 1,000 tokens;
+    a model without a rate has no cost, and then the total has none."""
+    per = calls.groupBy(model).agg(
+        F.count("*").alias("calls"), F.sum("tokens_in").alias("input_tokens"), F.sum("tokens_out").alias("output_tokens")
+    )
+    cost = F.col("input_tokens") / 1000.0 * F.col("rate_in") + F.col("output_tokens") / 1000.0 * F.col("rate_out")
+    priced = per.join(rates, model, "left").select(model, "calls", "input_tokens", "output_tokens", cost.alias("cost"))
+    known = F.when(F.bool_and(F.col("cost").isNotNull()), F.sum("cost"))
+    total = priced.agg(*[F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens")], known.alias("cost"))
+    return priced.union(total.select(F.lit("total").alias(model), *total.columns))
+
+
+def bulk(papers: DataFrame, group: str, sums: list[str], with_any: list[str], flags: list[str]) -> DataFrame:
+    """Per run its papers, sums, the papers that have any of something, and whether any paper
+    has a flag."""
+    return papers.groupBy(group).agg(
+        F.count("*").alias("papers"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+        *[F.count_if(F.col(c) > 0).alias(f"papers_with_{c}") for c in with_any],
+        *[F.bool_or(c).alias(c) for c in flags],
+    )
+
+
+def source_counts(rows: DataFrame, sources: str, name: str) -> DataFrame:
+    """How many rows name each source; a row that names one twice counts twice."""
+    return rows.select(F.explode(sources).alias("source")).groupBy("source").agg(F.count("*").alias(name))
+
+
+def page_bands(scores: DataFrame, doc: str, at: str, score: str, pages: int, high: float = 0.85, medium: float = 0.30) -> DataFrame:
+    """Per document and page (``pages`` equal parts of its windows) the windows, their mean score
+    and the shares in each band."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(doc).orderBy(at)
+    share = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(doc))
+    page = F.least(F.lit(pages - 1), F.floor(share * pages)).cast("int")
+    s = F.col(score)
+    bands = {"high": s >= high, "medium": (s >= medium) & (s < high), "low": s < medium}
+    return scores.withColumn("page", page).groupBy(doc, "page").agg(
+        F.count("*").alias("windows"), F.avg(s).alias("mean"), *[F.avg(F.when(b, 1.0).otherwise(0.0)).alias(n) for n, b in bands.items()]
+    )
+
+
+def clamped(rows: DataFrame, limit: int, *order, least: int = 1, most: int = 500) -> DataFrame:
+    """The first ``limit`` rows, between ``least`` and ``most``, and whether there may be more:
+    ``truncated`` where the limit is reached."""
+    n = max(least, min(most, limit))
+    first = rows.orderBy(*order).limit(n)
+    reached = rows.limit(n).agg((F.count("*") >= n).alias("truncated"))
+    return first.crossJoin(F.broadcast(reached)).orderBy(*order)
