@@ -206,6 +206,56 @@ def citation_family(text: Column) -> Column:
     )
 
 
+#: Small words that belong to a surname, and what may follow a name.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "bin", "ibn", "ter", "ten")
+SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+
+
+def name_parts(author: Column) -> Column:
+    """``struct<family, last, initials, words>`` of ``First M. Last``, ``Last, First M.`` and
+    ``Last FM``: the surname with and without its particles, letters alone; the initials in
+    order; all words, sorted. A name of one word has no initials."""
+    flat = F.regexp_replace(fold_diacritics(straight_apostrophes(F.trim(author))), r"[.\u00b4]", " ")
+    bare = F.trim(F.regexp_replace(flat, r"(?i)[,\s]+(?:" + "|".join(SUFFIXES) + r")\s*$", ""))
+
+    def tokens(t):
+        return F.filter(F.split(F.regexp_replace(t, "[^A-Za-z'\\s-]", " "), r"[\s-]+"), lambda w: w != "")
+
+    def split(x):
+        comma, every = x["comma"], x["every"]
+        n = F.size(every)
+        letters = r"^[A-Z]{1,3}$"
+        tail = F.size(F.filter(every, lambda w: w.rlike(letters)))
+        # Last FM: capitals at the end, after a longer word
+        short_last = ~comma & (n >= 2) & F.get(every, n - 1).rlike(letters) & ~F.get(every, F.lit(0)).rlike(letters)
+        at = F.array_position(F.transform(every, lambda w: F.lower(w).isin(*PARTICLES)), F.lit(True))
+        first_of_family = F.when((at > 1) & (at < n), at - 1).otherwise(n - 1)
+        family = (
+            F.when(comma, tokens(F.split_part(x["t"], F.lit(","), F.lit(1))))
+            .when(short_last, F.slice(every, F.lit(1), F.greatest(n - tail, F.lit(1))))
+            .otherwise(F.slice(every, F.greatest(first_of_family, F.lit(0)) + 1, F.greatest(n, F.lit(1))))
+        )
+        given = (
+            F.when(comma, tokens(F.split_part(x["t"], F.lit(","), F.lit(2))))
+            .when(short_last, F.slice(every, F.greatest(n - tail, F.lit(1)) + 1, F.greatest(tail, F.lit(1))))
+            .otherwise(F.slice(every, F.lit(1), F.greatest(first_of_family, F.lit(0))))
+        )
+        initials = F.transform(given, lambda w: F.when(w.rlike(letters), w).otherwise(F.substring(w, 1, 1)))
+
+        def letters_of(w):
+            return F.regexp_replace(F.lower(F.array_join(w, "")), "[^a-z]", "")
+
+        own = F.filter(family, lambda w: ~F.lower(w).isin(*PARTICLES))
+        return F.struct(
+            letters_of(family).alias("family"),
+            letters_of(F.when(F.size(own) > 0, own).otherwise(family)).alias("last"),
+            F.lower(F.array_join(initials, "")).alias("initials"),
+            F.array_sort(F.transform(every, lambda w: F.lower(w))).alias("words"),
+        )
+
+    return let(F.struct(bare.alias("t"), F.contains(bare, F.lit(",")).alias("comma"), tokens(bare).alias("every")), split)
+
+
 def surname(author: Column) -> Column:
     """Of ``First Last`` and ``Last, First``, folded, letters alone."""
     last = F.when(author.contains(","), F.split_part(author, F.lit(","), F.lit(1))).otherwise(
@@ -214,22 +264,31 @@ def surname(author: Column) -> Column:
     return F.regexp_replace(F.lower(fold_diacritics(last)), "[^a-z]", "")
 
 
-def initial(author: Column) -> Column:
-    first = F.when(author.contains(","), F.trim(F.split_part(author, F.lit(","), F.lit(2)))).otherwise(F.trim(author))
-    return F.substring(F.lower(fold_diacritics(first)), 1, 1)
+def same_parts(x: Column, y: Column) -> Column:
+    """Whether two ``name_parts`` may be one person's: the same words in any order, or surnames
+    that agree, particles aside, and initials of which one side's open the other's. A bare
+    surname agrees with any initials."""
+    family = (x["last"] != "") & ((x["last"] == y["last"]) | (x["family"] == y["family"]))
+    opens = F.startswith(x["initials"], y["initials"]) | F.startswith(y["initials"], x["initials"])
+    return ((F.size(x["words"]) > 1) & (x["words"] == y["words"])) | (family & opens)
 
 
 def same_author(a: Column, b: Column) -> Column:
-    """Equal surnames and agreeing initials; a bare surname agrees with any initial."""
-    bare = ~F.trim(a).contains(" ") | ~F.trim(b).contains(" ")
-    return (surname(a) != "") & (surname(a) == surname(b)) & (bare | (initial(a) == initial(b)))
+    return let(F.struct(name_parts(a).alias("x"), name_parts(b).alias("y")), lambda t: same_parts(t["x"], t["y"]))
+
+
+def _parts_of(authors: Column) -> Column:
+    return F.transform(authors, name_parts)
 
 
 def author_overlap(cited: Column, found: Column) -> Column:
-    """Share of the first ten cited authors that the work has; null below two on a side."""
-    first = F.slice(cited, 1, 10)
-    hits = F.size(F.filter(first, lambda a: F.exists(found, lambda b: same_author(a, b))))
-    return F.when((F.size(cited) >= 2) & (F.size(found) >= 2), hits / F.size(first))
+    """Share of the first ten cited authors that the work has; null below two on a side. Of
+    two cited authors, one found says nothing: null."""
+    lists = F.struct(_parts_of(F.slice(cited, 1, 10)).alias("c"), _parts_of(found).alias("f"))
+    hits = let(lists, lambda t: F.size(F.filter(t["c"], lambda a: F.exists(t["f"], lambda b: same_parts(a, b)))))
+    n = F.least(F.size(cited), F.lit(10))
+    share = let(hits, lambda h: F.when((n <= 2) & (h >= 1) & (h < n), None).otherwise(h / n))
+    return F.when((F.size(cited) >= 2) & (F.size(found) >= 2), share)
 
 
 def _title_words(t: Column) -> Column:
