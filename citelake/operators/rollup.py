@@ -1,7 +1,8 @@
 """Rollups over check history: totals, series, breakdowns, per-user and per-paper tables.
 
-Every function is one or two hash aggregations with map-side partials; what is joined is an
-aggregate or a dimension, never the fact table with itself.
+Every function is one or two aggregations with map-side partials; what is joined is an
+aggregate or a dimension, never the fact table with itself. Sums and counts are hash
+aggregations; the latest row of a group (``max_by`` of a struct) is a sort aggregation.
 """
 
 from __future__ import annotations

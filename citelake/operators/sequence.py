@@ -1,8 +1,7 @@
 """Ordered-sequence operators: sessions, running maxima, windows of text, intervals.
 
 Each works within a partition key; a window sorts one key's rows, so keys (users, papers)
-must not hold an unbounded share of the rows. Where one may, split it first, as
-``sessions`` does with ``day_salt``.
+must not hold an unbounded share of the rows. Where one may, filter or split it first.
 """
 
 from __future__ import annotations

@@ -56,21 +56,41 @@ def write_report(records: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"unknown report kind {kind!r}")
 
 
-def swap_in(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then rename: readers see the old table or the new one."""
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def swap_in(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Write a new version of the table below ``path`` and let it be the current one.
+
+    A version is complete once Spark has put its ``_SUCCESS`` file beside the data, and
+    ``current`` reads the latest complete one: at each moment readers find the old table or
+    the new one, also after a crash. The last ``keep`` versions stay for readers under way.
+    """
     spark = df.sparkSession
-    staged, old = f"{path}__staged", f"{path}__old"
-    df.write.mode("overwrite").parquet(staged)
-    jvm = spark.sparkContext._jvm
-    at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, old)]
-    fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at[2]):
-        fs.delete(at[2], True)
-    if fs.exists(at[0]):
-        fs.rename(at[0], at[2])
-    fs.rename(at[1], at[0])
-    if fs.exists(at[2]):
-        fs.delete(at[2], True)
+    found = _versions(spark, path)
+    number = max((n for n, _ in found), default=0) + 1
+    df.write.parquet(f"{path}/v{number:012d}")
+    done = [n for n, complete in found if complete]
+    for n, complete in found:
+        if not complete or n in done[: len(done) - keep + 1]:
+            at, files = _files(spark, f"{path}/v{n:012d}")
+            files.delete(at, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Versions, oldest first, and whether they are complete."""
+    at, files = _files(spark, f"{path}/v*")
+    paths = [x.getPath() for x in files.globStatus(at) or []]
+    success = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted((int(p.getName()[1:]), files.exists(success(p, "_SUCCESS"))) for p in paths)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``swap_in`` wrote last."""
+    number = max(n for n, complete in _versions(spark, path) if complete)
+    return spark.read.parquet(f"{path}/v{number:012d}")
 
 
 def unprocessed(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -63,19 +63,28 @@ def run_to_end(stream: DataFrame, mode: str = "complete", name: str = "stream")
     return spark.read.schema(stream.schema).parquet(f"{out}/table").select(*stream.columns)
 
 
-def apply_deltas(stream: DataFrame, path: str, key: list[str], seq: str) -> None:
-    """Upsert micro-batches into the table at ``path``; a batch's number is written with it,
-    so a batch that comes twice is applied once."""
+def deal_by_key(table: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """Rows with ``_part``, the folder of ``apply_deltas`` that their key belongs to."""
+    return table.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+
+
+def apply_deltas(stream: DataFrame, path: str, key: list[str], seq: str, parts: int = 64) -> None:
+    """Upsert micro-batches into the table at ``path``, which is written by ``deal_by_key``
+    with the same ``parts`` and partitioned by ``_part``. A batch rewrites the parts that its
+    keys fall into, no others. A batch that comes twice gives the same table."""
     from citelake.operators.deltas import upsert
-    from citelake.sources.sinks import swap_in
+    from citelake.storage import discard, materialize
 
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        table = spark.read.parquet(path)
-        if table.where(F.col("_batch") >= number).limit(1).count():
+        rows = deal_by_key(batch, key, parts)
+        touched = [r[0] for r in rows.select("_part").distinct().collect()]  # ``parts`` at most
+        if not touched:
             return
-        rows = batch.withColumn("_batch", F.lit(number).cast("long"))
-        swap_in(upsert(table, rows, key, seq), path)
+        old = spark.read.parquet(path).where(F.col("_part").isin(touched))
+        fresh = materialize(upsert(old.select(*[c for c in rows.columns if c != seq]), rows, key, seq), "delta")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+        discard(fresh)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}__state").trigger(availableNow=True).start().awaitTermination()

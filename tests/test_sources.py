@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,7 +93,18 @@ def test_exports_and_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     sinks.swap_in(df, str(tmp_path / "t"))
     sinks.swap_in(df.union(df), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert sinks.current(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_a_half_written_version_is_not_read(spark, tmp_path):
+    path = tmp_path / "t"
+    for n in range(1, 5):
+        sinks.swap_in(spark.range(n), str(path))
+    assert sorted(p.name for p in path.iterdir()) == ["v000000000003", "v000000000004"]
+    (path / "v000000000005").mkdir()
+    assert sinks.current(spark, str(path)).count() == 4
+    sinks.swap_in(spark.range(9), str(path))
+    assert sinks.current(spark, str(path)).count() == 9 and not (path / "v000000000005").exists()
 
 
 def test_sessions_keep_batches_together(spark):
@@ -106,12 +118,17 @@ def test_sessions_keep_batches_together(spark):
 
 def test_stream_deltas_apply_once(spark, tmp_path):
     path, source = str(tmp_path / "table"), str(tmp_path / "source")
-    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").withColumn("_batch", F.lit(-1).cast("long")).write.parquet(path)
+    table = events.deal_by_key(spark.createDataFrame([(1, "a"), (2, "b"), *[(k, "z") for k in range(10, 60)]], "k int, v string"), ["k"], 64)
+    table.write.partitionBy("_part").parquet(path)
+    stamps = {p: p.stat().st_mtime_ns for p in Path(path).glob("_part=*/*.parquet")}
     spark.createDataFrame([(2, "c", 1), (3, "d", 1), (3, "e", 2)], "k int, v string, seq int").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("k int, v string, seq int").parquet(source)
     for _ in range(2):
         events.apply_deltas(stream, path, ["k"], "seq")
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "e")]
+    got = sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a"), (2, "c"), (3, "e"), *[(k, "z") for k in range(10, 60)]]
+    changed = {p.parent.name for p, t in stamps.items() if not p.exists() or p.stat().st_mtime_ns != t}
+    assert len(changed) <= 2
 
 
 def test_upsert_and_delete_are_idempotent(spark):
@@ -122,6 +139,28 @@ def test_upsert_and_delete_are_idempotent(spark):
     assert deltas.delete(once, delta, ["k"]).count() == 1
 
 
+def test_references_are_not_capped(spark):
+    from citelake.sources import references
+
+    n = 100_500
+    body = "\n".join(f"{k % 900}. Author {k}, a title that is long enough, 2001" for k in range(n))
+    tex = "".join(f"\\bibitem{{k{k}}} body {k}\n" for k in range(n))
+    df = spark.createDataFrame([(body, tex)], "body string, tex string")
+    row = df.select(F.size(references.vancouver_entries(F.col("body"))).alias("v"), F.size(references.bibitems(F.col("tex"))).alias("b")).first()
+    assert tuple(row) == (n, n)
+
+
+def test_open_alex_types_and_old_arxiv_ids(spark, tmp_path):
+    from citelake.functions import text
+
+    kinds = ["article", "book", "book-chapter", "preprint", "review", "dissertation", "dataset"]
+    path = tmp_path / "works.jsonl"
+    path.write_text("\n".join(json.dumps({"id": f"https://openalex.org/W{k}", "display_name": t, "type": t, "publication_year": 2020}) for k, t in enumerate(kinds)))
+    assert sorted(r["title"] for r in corpora.openalex(spark, str(path)).collect()) == ["article", "book-chapter", "dissertation", "preprint", "review"]
+    got = spark.range(1).select(text.arxiv_id(F.lit("https://arxiv.org/abs/solv-int/9701001v2")).alias("a")).first()["a"]
+    assert got == "solv-int/9701001"
+
+
 def test_docx_text(spark, tmp_path):
     import zipfile
 
