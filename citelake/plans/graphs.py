@@ -1,8 +1,4 @@
-"""Citation graph: ``lineitem`` gives edges, an order citing a part.
-
-The queries with SQL take the works of a stated kind as sources: parts of the largest sizes,
-orders of the highest total prices. Those that end in ``_all`` take every part or order.
-"""
+"""Citation graph: ``lineitem`` gives edges, an order citing a part. Every work is a source."""
 
 from __future__ import annotations
 
@@ -19,39 +15,45 @@ def _edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
 
 
-@register(
-    f"""
-    WITH {_E}, s AS (SELECT p_partkey AS source FROM part WHERE p_size >= 48),
-    m AS (SELECT l_orderkey, source FROM e JOIN s ON l_partkey = source)
-    SELECT source, e.l_partkey, count(*) AS shared FROM m JOIN e USING (l_orderkey) WHERE source <> e.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2"""
+_COCITED = f"""
+    WITH {_E} SELECT m.l_partkey AS source, e.l_partkey, count(*) AS shared FROM e m JOIN e USING (l_orderkey) WHERE m.l_partkey <> e.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2"""
+_SHARED = f"""
+    WITH {_E}, d AS (SELECT l_orderkey, count(*) AS n FROM e GROUP BY 1),
+    x AS (SELECT m.l_orderkey AS source, e.l_orderkey, count(*) AS overlap FROM e m JOIN e USING (l_partkey) WHERE m.l_orderkey <> e.l_orderkey GROUP BY 1, 2)"""
+_COUPLED = (
+    _SHARED
+    + """
+    SELECT source, x.l_orderkey, overlap, round(100.0 * overlap / a.n, 2) AS pct, round(overlap / (a.n + b.n - overlap), 6) AS jaccard
+    FROM x JOIN d a ON a.l_orderkey = source JOIN d b ON b.l_orderkey = x.l_orderkey"""
+)
+_RERANKED = (
+    _SHARED
+    + """,
+    c AS (SELECT l_orderkey, CAST(sum(overlap) AS BIGINT) AS shared, max(overlap) AS overlap, max(round(100.0 * overlap / n, 2)) AS pct
+          FROM x JOIN (SELECT l_orderkey AS source, n FROM d) USING (source) GROUP BY 1),
+    p AS (SELECT * FROM c ORDER BY shared DESC, l_orderkey LIMIT 60)
+    SELECT * FROM p ORDER BY pct DESC, overlap DESC, shared DESC, l_orderkey LIMIT 20"""
 )
+
+
+@register(_COCITED)
 def co_citation_counts(spark, sf_dir):
-    sources = table(spark, sf_dir, "part").where("p_size >= 48").select(F.col("p_partkey").alias("l_partkey"))
-    return graph.cocited(_edges(spark, sf_dir), sources, "l_orderkey", "l_partkey")
+    return graph.cocited(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
 
 
-@register(
-    f"""
-    WITH {_E}, s AS (SELECT o_orderkey AS source FROM orders WHERE o_totalprice >= 480000),
-    d AS (SELECT l_orderkey, count(*) AS n FROM e GROUP BY 1),
-    m AS (SELECT source, l_partkey FROM e JOIN s ON l_orderkey = source),
-    x AS (SELECT source, e.l_orderkey, count(*) AS overlap FROM m JOIN e USING (l_partkey) WHERE source <> e.l_orderkey GROUP BY 1, 2)
-    SELECT source, x.l_orderkey, overlap, round(100.0 * overlap / a.n, 2) AS pct, round(overlap / (a.n + b.n - overlap), 6) AS jaccard
-    FROM x JOIN d a ON a.l_orderkey = source JOIN d b ON b.l_orderkey = x.l_orderkey"""
-)
+@register(_COUPLED)
 def jaccard_overlap(spark, sf_dir):
-    sources = table(spark, sf_dir, "orders").where("o_totalprice >= 480000").select(F.col("o_orderkey").alias("l_orderkey"))
-    return graph.coupled(_edges(spark, sf_dir), sources, "l_orderkey", "l_partkey")
+    return graph.coupled(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
 
 
-@register()
+@register(_COCITED)
 def co_citation_counts_all(spark, sf_dir):
-    return graph.cocited(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
+    return co_citation_counts(spark, sf_dir)
 
 
-@register()
+@register(_COUPLED)
 def jaccard_overlap_all(spark, sf_dir):
-    return graph.coupled(_edges(spark, sf_dir), None, "l_orderkey", "l_partkey")
+    return jaccard_overlap(spark, sf_dir)
 
 
 @register(
@@ -91,27 +93,14 @@ def clique_edges(spark, sf_dir):
     return graph.cull_edges(edges, 4000)
 
 
-@register(
-    """
-    WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT o_orderkey AS source FROM orders WHERE o_totalprice >= 480000),
-    d AS (SELECT l_orderkey, count(*) AS n FROM e GROUP BY 1), m AS (SELECT source, l_partkey FROM e JOIN s ON l_orderkey = source),
-    x AS (SELECT source, e.l_orderkey, count(*) AS overlap FROM m JOIN e USING (l_partkey) WHERE source <> e.l_orderkey GROUP BY 1, 2),
-    c AS (SELECT l_orderkey, CAST(sum(overlap) AS BIGINT) AS shared, max(overlap) AS overlap, max(round(100.0 * overlap / n, 2)) AS pct
-          FROM x JOIN (SELECT l_orderkey AS source, n FROM d) USING (source) GROUP BY 1),
-    p AS (SELECT * FROM c ORDER BY shared DESC, l_orderkey LIMIT 60)
-    SELECT * FROM p ORDER BY pct DESC, overlap DESC, shared DESC, l_orderkey LIMIT 20"""
-)
+@register(_RERANKED)
 def reranked_candidates(spark, sf_dir):
-    return _reranked(jaccard_overlap(spark, sf_dir))
-
-
-@register()
-def reranked_candidates_all(spark, sf_dir):
-    return _reranked(jaccard_overlap_all(spark, sf_dir))
-
-
-def _reranked(overlaps):
-    found = overlaps.groupBy("l_orderkey").agg(
+    found = jaccard_overlap(spark, sf_dir).groupBy("l_orderkey").agg(
         F.sum("overlap").alias("shared"), F.max("overlap").alias("overlap"), F.max("pct").alias("pct")
     )
     return graph.rerank(found, 20, "l_orderkey")
+
+
+@register(_RERANKED)
+def reranked_candidates_all(spark, sf_dir):
+    return reranked_candidates(spark, sf_dir)
