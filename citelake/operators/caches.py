@@ -126,5 +126,7 @@ def duplicate_references(refs: DataFrame, ref: str) -> DataFrame:
     same = some.join(by_title, "t").where("r <> kept").select("r", "kept")
     lists = some.where("a <> ''").groupBy("a", "t").agg(F.min("r").alias("r"))
     other = lists.select("a", F.col("t").alias("t2"), F.col("r").alias("kept"))
-    held = lists.join(other, "a").where((F.col("kept") < F.col("r")) & (F.contains("t", F.col("t2")) | F.contains("t2", F.col("t"))))
+    alike = lists.join(other, "a").where((F.col("t") != F.col("t2")) & (F.contains("t", F.col("t2")) | F.contains("t2", F.col("t"))))
+    first = alike.groupBy("a", "t").agg(F.min("kept").alias("kept"))
+    held = some.join(first, ["a", "t"]).where("kept < r")
     return same.union(held.select("r", "kept")).groupBy(F.col("r").alias(ref)).agg(F.min("kept").alias("kept"))
