@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.storage import materialize
+from citelake.storage import discard, materialize
 
-__all__ = ["connected_components", "join_back", "kept", "let", "materialize", "prefix_sums", "with_roots"]
+__all__ = ["connected_components", "discard", "join_back", "kept", "let", "materialize", "prefix_sums", "tidy", "with_roots"]
 
 
 _LOADED: dict[str, tuple[bytes, object]] = {}
@@ -25,6 +29,20 @@ def kept(name: tuple[str, bytes], make):
     return _LOADED[kind][1]
 
 
+def tidy(run):
+    """``run``, a function of a ``mapInArrow``, that gives free memory back at its end: workers
+    live on, and what an allocator keeps for a stage that is over counts against the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 
@@ -92,7 +110,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, "links")
+        before, e = e, materialize(small, "links")
+        discard(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
