@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelake.llm.bpe import Coder, loaded
-from citelake.llm.common import kept, materialize
+from citelake.llm.common import kept, materialize, tidy
 
 CAPACITY = 2048
 
@@ -124,7 +124,7 @@ def cut_pieces(
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def pack_sizes(pieces: DataFrame, capacity: int = CAPACITY, rows_a_partition: int = 20_000, rounds: int = 3) -> DataFrame:
@@ -162,7 +162,7 @@ def pack_sizes(pieces: DataFrame, capacity: int = CAPACITY, rows_a_partition: in
             break
         parts = max(1, -(-n // (rows_a_partition << number)))
         dealt = left.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id(), F.lit(number)))
-        packed = materialize(dealt.repartition(parts, "_deal").drop("_deal").mapInArrow(packer(number), schema), "packed")
+        packed = materialize(dealt.repartition(parts, "_deal").drop("_deal").mapInArrow(tidy(packer(number)), schema), "packed")
         final = packed if number == rounds - 1 else packed.where("not _gap")
         done = final if done is None else done.union(final)
         left = packed.where("_gap").select(*columns)

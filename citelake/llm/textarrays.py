@@ -4,7 +4,7 @@ A word is a maximal run without ASCII white space, with ASCII letters lower-case
 they stand. Its hash is a polynomial in its bytes modulo 2**64, read off one running sum
 over the texts' buffer, and mixed; a word of 512 bytes or more, where such polynomials have
 known collisions, is hashed on its own. No Python string is made per word, and a slice of
-texts of about a megabyte (or one longer text) is held at a time.
+texts of about a quarter of a megabyte (or one longer text) is held at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 
 _LONG = 512
 _SAME = np.arange(256, dtype=np.uint8)

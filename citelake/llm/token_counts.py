@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from citelake.llm.common import kept
+from citelake.llm.common import kept, tidy
 from citelake.llm.textarrays import slices, spans
 
 WORD_START = "▁"
@@ -167,4 +167,4 @@ def token_counts(
                 [batch.column(0), pa.array(words), pa.array(tokens)], names=[id_col, "n_words", "n_tokens"]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
