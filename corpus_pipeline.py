@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake.llm import jaccard_join, packing, quality_rules, secret_scan
-from citelake.llm.common import materialize
-from citelake.storage import ship_package
+from citelake.llm.common import discard
+from citelake.storage import only, ship_package, written
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; lines above the limits leave the others."""
-    kept = quality_rules.keep_good(docs.select(*COLUMNS))
+    """Documents that the rules reject go; lines above the limit leave the others, but stay in
+    their first document, so that one copy of a group is there for the next stage. A text
+    isn't bad for being short: those without any word go, and packing takes the others."""
+    kept = quality_rules.keep_good(docs.select(*COLUMNS), min_words=1, keep_first=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -52,8 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    last = None
+    for name, stage in STAGES[:-1]:
+        before = written()
+        docs = only(stage(spark, docs, sf_dir), name, before)
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
