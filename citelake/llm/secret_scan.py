@@ -51,7 +51,8 @@ MORE_RULES = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("login", r"[a-z][a-z0-9+]*://[^\s:@/]+:[^\s:@/]+@"),
+    # a scheme's length is bounded, so that a long word is passed over in linear time
+    Rule("login", r"\b[a-z][a-z0-9+]{0,30}://[^\s:@/]+:[^\s:@/]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
