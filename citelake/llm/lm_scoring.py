@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import materialize
+from citelake.llm.common import materialize, tidy
 from citelake.llm.textarrays import mix, slices, words
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
-_BLOCK_TOKENS = 500_000
+_BLOCK_TOKENS = 250_000
 _BUCKET_KEYS = 1_000_000
 _TOTALS = "block long, part int, bucket int, kind int, n int, kept binary, every binary, types long"
 _SENT = "bucket int, kind int, block long, part int, keys binary, counts binary"
@@ -300,12 +300,12 @@ def score(
         ]
     )
 
-    blocks = materialize(rows.mapInArrow(lambda batches: _encode(batches, block_tokens), blocks_schema), "blocks")
+    blocks = materialize(rows.mapInArrow(tidy(lambda batches: _encode(batches, block_tokens)), blocks_schema), "blocks")
     # the more tokens, the more buckets, so that a bucket's size is bounded too
     sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, sum(sizes.values()) // bucket_keys, 8)
-    sent = blocks.mapInArrow(lambda batches: _send(batches, buckets), _SENT)
+    sent = blocks.mapInArrow(tidy(lambda batches: _send(batches, buckets)), _SENT)
     totals = materialize(sent.groupBy("bucket", "kind").applyInArrow(_sum_up, _TOTALS), "totals")
     types = totals.where("kind = 0").agg(F.sum("types")).first()[0] or 0
     kept = sizes.get(KEPT, 0)
