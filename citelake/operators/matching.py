@@ -90,3 +90,20 @@ def source_priority(candidates: DataFrame, ref_id: str, source: str, order: list
     ranked = candidates.where(rank > 0).withColumn("_rank", rank)
     w = Window.partitionBy(ref_id).orderBy("_rank")
     return ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_rank")
+
+
+def best_within_years(refs: DataFrame, works: DataFrame, ref: str, work: str, block: str, year: str, base: float = 0.8, widest: int = 3) -> DataFrame:
+    """``(ref, work, score)``: each reference's best work of its block, other than the one of
+    its own number, at most ``widest`` years apart: ``base`` and the year-gap score, ties to the
+    smaller work. Of each block and year the two smallest works can win, so a reference meets
+    those of ``2 * widest + 1`` years and not its whole block."""
+    order = Window.partitionBy(block, year).orderBy(work)
+    first = works.select(block, year, work).distinct().withColumn("_n", F.row_number().over(order)).where("_n <= 2")
+    two = first.groupBy(block, year).agg(F.min(work).alias("_a"), F.max(work).alias("_b"))
+    gaps = F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("_gap")
+    asks = refs.select(ref, block, F.col(year).alias("_year"), gaps).withColumn(year, F.col("_year") + F.col("_gap"))
+    other = F.when(F.col("_a") != F.col(ref), F.col("_a")).when(F.col("_b") != F.col(ref), F.col("_b"))
+    score = F.lit(base) + year_gap_score(F.col("_year"), F.col(year))
+    met = asks.join(two, [block, year]).select(ref, other.alias(work), score.alias("score")).where(F.col(work).isNotNull() & (F.col("score") >= base))
+    best = met.groupBy(ref).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(work).alias("w"))).alias("b"))
+    return best.select(ref, F.col("b.w").alias(work), (-F.col("b.s")).alias("score"))

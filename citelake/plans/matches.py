@@ -103,13 +103,9 @@ def discrepancy_pairs(spark, sf_dir):
     SELECT p_partkey, key_b, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rn = 1"""
 )
 def year_scored_best_match(spark, sf_dir):
-    works = table(spark, sf_dir, "part").select(
-        "p_partkey", F.concat_ws("|", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b"), "p_size"
-    )
-    other = works.select("b", F.col("p_partkey").alias("key_b"), F.col("p_size").alias("size_b"))
-    pairs = works.join(other, "b").where("p_partkey <> key_b")
-    scored = matching.year_scored(pairs, F.col("p_size"), F.col("size_b"), F.lit(0.8))
-    best = matching.best_match(scored, "p_partkey", F.col("score"), "key_b")
+    block = F.concat_ws("|", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b")
+    works = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("key_b"), block, "p_size")
+    best = matching.best_within_years(works, works, "p_partkey", "key_b", "b", "p_size")
     return best.select("p_partkey", "key_b", F.round("score", 6).alias("score"))
 
 
