@@ -29,7 +29,7 @@ def audit(marks: DataFrame, references: DataFrame, doc: str, number: str, most_u
     listed = references.groupBy(doc, F.col(number).alias("number")).agg(F.count("*").alias("times"))
     cited = marks.groupBy(doc, "number").agg(F.min("at").alias("first"), F.count("*").alias("mentions"))
     both = cited.join(listed, [doc, "number"], "full")
-    order = Window.partitionBy(doc).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(doc).orderBy("first", "number").rowsBetween(Window.unboundedPreceding, -1)
     late = F.col("first").isNotNull() & (F.col("number") < F.max(F.when(F.col("first").isNotNull(), F.col("number"))).over(order))
     rows = both.withColumn("late", F.coalesce(late, F.lit(False)))
 
@@ -81,5 +81,5 @@ def renumbered(marks: DataFrame, inserted: int) -> DataFrame:
 def dense_numbers(marks: DataFrame, doc: str) -> DataFrame:
     """Numbers by order of first mention."""
     first = marks.groupBy(doc, "number").agg(F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy("first"))
+    rank = F.row_number().over(Window.partitionBy(doc).orderBy("first", "number"))
     return marks.join(first.select(doc, "number", rank.alias("new_number")), [doc, "number"])

@@ -61,11 +61,14 @@ def result_issue_histogram(spark, sf_dir):
     c AS (SELECT d, number, min(pos) AS first FROM m GROUP BY 1, 2),
     r AS (SELECT l_orderkey AS d, l_linenumber AS number, count(*) AS times FROM lineitem GROUP BY 1, 2),
     b AS (SELECT d, number, first, times FROM c FULL JOIN r USING (d, number)),
+    o AS (SELECT *, max(CASE WHEN first IS NOT NULL THEN number END) OVER (PARTITION BY d ORDER BY first NULLS FIRST, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
     p AS (SELECT d, count(first) AS nc, count(times) AS nl, count(*) FILTER (WHERE first IS NOT NULL AND times IS NOT NULL) AS nb,
-                 count(*) FILTER (WHERE times IS NULL) AS undefined, count(*) FILTER (WHERE times > 1) AS duplicate,
-                 count(*) FILTER (WHERE first IS NULL) AS uncited, max(number) FILTER (WHERE times IS NOT NULL) AS top FROM b GROUP BY 1)
-    SELECT d, (nc < 3 OR undefined > 0.3 * nc) AS abstains, CAST(undefined AS INT) AS undefined, CAST(duplicate AS INT) AS duplicate,
-           CAST(top - nl AS INT) AS gap, CAST(CASE WHEN nb >= 0.5 * nl THEN uncited ELSE 0 END AS INT) AS uncited FROM p"""
+                 list_sort(list(number) FILTER (WHERE times IS NULL)) AS undefined, list_sort(list(number) FILTER (WHERE times > 1)) AS duplicate,
+                 list_sort(list(number) FILTER (WHERE first IS NULL)) AS uncited, list_sort(list(number) FILTER (WHERE first IS NOT NULL AND number < before)) AS late,
+                 list(number) FILTER (WHERE times IS NOT NULL) AS listed, max(number) FILTER (WHERE times IS NOT NULL) AS top FROM o GROUP BY 1)
+    SELECT d, (nc < 3 OR coalesce(len(undefined), 0) > 0.3 * nc) AS abstains, coalesce(array_to_string(undefined, ','), '') AS undefined, coalesce(array_to_string(duplicate, ','), '') AS duplicate,
+           array_to_string(list_filter(range(1, coalesce(top, 0) + 1), lambda x: NOT list_contains(listed, x)), ',') AS gap,
+           CASE WHEN nb >= 0.5 * nl THEN coalesce(array_to_string(uncited, ','), '') ELSE '' END AS uncited, coalesce(array_to_string(late, ','), '') AS out_of_order FROM p"""
 )
 def citation_audit(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
@@ -76,7 +79,8 @@ def citation_audit(spark, sf_dir):
     )
     refs = lines.select(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("n"))
     out = citations.audit(marks, refs, "d", "n")
-    return out.select("d", "abstains", *[F.size(c).alias(c) for c in ("undefined", "duplicate", "gap", "uncited")])
+    lists = ("undefined", "duplicate", "gap", "uncited", "out_of_order")
+    return out.select("d", "abstains", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
 @register(
@@ -123,11 +127,12 @@ def progress_never_regresses(spark, sf_dir):
 
 @register(
     """
-    SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9_\\s'']', '', 'g'), '\\s+', ' ', 'g'))) AS INT) AS chars
-    FROM documents"""
+    SELECT doc_id, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (
+        SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9_\\s'']', '', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)"""
 )
 def normalized_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_text(F.col("text"))).alias("chars"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 
 @register(

@@ -139,3 +139,23 @@ def displayed_names(spark, sf_dir):
 def word_differences(spark, sf_dir):
     rows = _pair(spark, sf_dir).select("p_partkey", _text("{a} xx yy {b} end").alias("x"), _text("{a}  zz {b} end").alias("y"))
     return names.word_diff(rows, "p_partkey", "x", "y")
+
+
+#: Two ways to write a venue, and whether they are two venues.
+_VENUES = [
+    ("Proc. Int. Conf. on {a} Sci.", "Proceedings of the 12th International Conference on {a} Science", False),
+    ("J. {a} Lett.", "Journal of {a} Letters", False),
+    ("arXiv preprint arXiv:2101.00001", "{a} Letters", False),
+    ("{a} Letters 2020", "{a} Letters", False),
+    ("", "{a} Letters", False),
+    ("{a} Letters", "{b}x Transactions", True),
+    ("Annals of {a}", "Annals of Q{b}x", True),
+    ("JMLR", "Journal of Machine Learning Research", False),
+]
+
+
+@register(f"SELECT p_partkey, [{', '.join(str(d).lower() for *_, d in _VENUES)}][p_partkey % {len(_VENUES)} + 1] AS differ FROM part")
+def venue_pairs(spark, sf_dir):
+    key = F.col("p_partkey")
+    differ = names.venues_differ(_of(key, *[_text(v) for v, *_ in _VENUES]), _of(key, *[_text(w) for _, w, _ in _VENUES]))
+    return _pair(spark, sf_dir).select("p_partkey", differ.alias("differ"))

@@ -50,7 +50,11 @@ def document_text_features(spark, sf_dir):
     )
 
 
-@register()
+@register(
+    r"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, true AS same, md5(array_to_string(w, ' ')) AS digest FROM w WHERE len(w) > 0"""
+)
 def inverted_index_rebuild(spark, sf_dir):
     """Each document's words as a map to positions and back: ``same`` is true for all."""
     words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
@@ -58,7 +62,9 @@ def inverted_index_rebuild(spark, sf_dir):
     places = docs.select("doc_id", F.posexplode("w").alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
     index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     rebuilt = index.select("doc_id", text.text_of_inverted_index(F.col("index")).alias("text"))
-    return rebuilt.join(docs, "doc_id").select("doc_id", (F.col("text") == F.array_join("w", " ")).alias("same"))
+    return rebuilt.join(docs, "doc_id").select(
+        "doc_id", (F.col("text") == F.array_join("w", " ")).alias("same"), F.md5("text").alias("digest")
+    )
 
 
 @register(
