@@ -1,9 +1,12 @@
 """Chat formatting by schema fingerprint.
 
-A record's fingerprint is the hash of its nested field paths that hold something. Each known
-layout (messages, conversations, prompt and response, instruction and output, ...) declares
-its paths and how they become canonical turns ``(role, text)``; the fingerprint selects the
-declaration, row by row, so one table may mix layouts.
+A record's fingerprint is the hash of its nested field paths, at any depth, that hold
+something. Each known layout (messages, conversations, prompt and response, instruction and
+output, ...) declares its paths and how they become canonical turns ``(role, text)``; the
+fingerprint selects the declaration, row by row, so one table may mix layouts. A record whose
+fingerprint is no layout's own takes the layout with the most paths of those it holds whole,
+else the first one that it holds any path of, so that no known field is lost for others
+beside it.
 
 Template: every turn is ``<s>[INST]role[/INST]text</s>``. Control strings inside roles and
 texts are escaped: ``\\`` doubles, and a ``\\`` goes behind the first character of a control
@@ -15,6 +18,7 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +34,8 @@ _SAME_ROLE = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 @dataclass(frozen=True)
 class Layout:
-    """``each``: (array, role field, text field); ``fixed``: (role, path...) in order, the
-    paths of a turn joined by a blank line."""
+    """``each``: (array, role field, text field), with dots for nested ones; ``fixed``: (role,
+    path...) in order, the paths of a turn joined by a blank line."""
 
     name: str
     each: tuple[str, str, str] | None = None
@@ -48,6 +52,7 @@ class Layout:
 LAYOUTS = (
     Layout("messages", each=("messages", "role", "content")),
     Layout("conversations", each=("conversations", "from", "value")),
+    Layout("export", each=("mapping", "message.author.role", "message.content.text")),
     Layout("prompt-response", fixed=(("user", "prompt"), ("assistant", "response"))),
     Layout("prompt-completion", fixed=(("user", "prompt"), ("assistant", "completion"))),
     Layout("question-answer", fixed=(("user", "question"), ("assistant", "answer"))),
@@ -57,38 +62,49 @@ LAYOUTS = (
 )
 
 
-def _schema_paths(schema: T.StructType) -> dict[str, list[str]]:
-    """Paths below each top field; an array of structs lists its elements' fields."""
-    out = {}
-    for field in schema.fields:
-        kind, mark = field.dataType, ""
-        if isinstance(kind, T.ArrayType):
-            kind, mark = kind.elementType, "[]"
-        if isinstance(kind, T.StructType):
-            out[field.name] = [f"{field.name}{mark}.{f.name}" for f in kind.fields]
-        else:
-            out[field.name] = [f"{field.name}{mark}"]
-    return out
+def _leaves(kind: T.DataType, path: str = "") -> list[str]:
+    """The paths of a type that hold values; an array's elements are ``[]``."""
+    if isinstance(kind, T.ArrayType):
+        return _leaves(kind.elementType, f"{path}[]")
+    if isinstance(kind, T.StructType):
+        return [leaf for f in kind.fields for leaf in _leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    return [path]
+
+
+def _column(path: str) -> Column:
+    return F.col(".".join(f"`{p}`" for p in path.split(".")))
+
+
+def _field(value: Column, path: str) -> Column:
+    for name in path.split("."):
+        value = value[name]
+    return value
+
+
+def _held(path: str) -> Column:
+    """Whether a record has a value at a path; of an array, in any element."""
+    array, _, field = path.partition("[].")
+    if not field:
+        return _column(path).isNotNull()
+    return F.coalesce(F.exists(_column(array), lambda m: _field(m, field).isNotNull()), F.lit(False))
 
 
 def _hash(paths) -> Column:
     return F.xxhash64(F.lit(",".join(sorted(paths))))
 
 
+def _known(schema: T.StructType, layouts: tuple[Layout, ...]) -> list[str]:
+    there = set(_leaves(schema))
+    return sorted({p for layout in layouts for p in layout.paths if p in there})
+
+
 def fingerprint(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Hash of the paths that hold a value, among those that some layout knows."""
-    known = {p for layout in layouts for p in layout.paths}
-    held = [
-        F.when(F.col(f"`{top}`").isNotNull(), F.array(*[F.lit(p) for p in paths if p in known]))
-        for top, paths in _schema_paths(schema).items()
-        if known.intersection(paths)
-    ]
-    if not held:
-        return _hash(())
-    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.array_compact(F.array(*held)))), ","))
-
-
-def _turns(layout: Layout) -> Column:
+    held = [F.when(_held(p), p) for p in _known(schema, layouts)]
+    return F.xxhash64(F.array_join(F.array_compact(F.array(*held)), ",")) if held else _hash(())
+
+
+def _turns(layout: Layout, there: set[str]) -> Column:
     def turn(role, text):
         role = F.coalesce(role, F.lit(""))
         for name, same in _SAME_ROLE.items() if layout.name == "conversations" else ():
@@ -97,24 +113,37 @@ def _turns(layout: Layout) -> Column:
 
     if layout.each:
         array, role, text = layout.each
-        return F.transform(F.col(array), lambda m: turn(m[role].cast("string"), m[text].cast("string")))
+
+        def of(m, field):
+            return _field(m, field).cast("string") if f"{array}[].{field}" in there else F.lit(None).cast("string")
+
+        return F.transform(_column(array), lambda m: turn(of(m, role), of(m, text)))
     return F.array(
-        *[turn(F.lit(t[0]), F.concat_ws("\n\n", *[F.col(p).cast("string") for p in t[1:]])) for t in layout.fixed]
+        *[turn(F.lit(t[0]), F.concat_ws("\n\n", *[_column(p).cast("string") for p in t[1:] if p in there])) for t in layout.fixed]
     )
 
 
 def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
-    """(layout, turns) of each record; an unknown fingerprint has no layout and no turns."""
-    there = {p for paths in _schema_paths(records.schema).values() for p in paths}
+    """(layout, turns) of each record; one that holds no known path has no layout and no turns."""
+    there = set(_known(records.schema, layouts))
+    some = [x for x in layouts if there.intersection(x.paths)]
     mark = fingerprint(records.schema, layouts)
+    held = {p: _held(p) for p in there}
+    whole = sorted((x for x in some if there.issuperset(x.paths)), key=lambda x: -len(x.paths))
+    rules = [(x, mark == _hash(x.paths)) for x in whole]
+    rules += [(x, functools.reduce(lambda a, b: a & b, (held[p] for p in x.paths))) for x in whole]
+    rules += [(x, functools.reduce(lambda a, b: a | b, (held[p] for p in x.paths if p in there))) for x in some]
     name = F.lit(None).cast("string")
-    turns = F.expr("cast(array() as array<struct<role:string,text:string>>)")
-    for layout in layouts:
-        if there.issuperset(layout.paths):
-            match = mark == _hash(layout.paths)
-            name = F.when(match, layout.name).otherwise(name)
-            turns = F.when(match, _turns(layout)).otherwise(turns)
-    return name, turns
+    for layout, match in reversed(rules):
+        name = F.when(match, layout.name).otherwise(name)
+
+    def turns(chosen):
+        out = F.expr("cast(array() as array<struct<role:string,text:string>>)")
+        for layout in some:
+            out = F.when(chosen == layout.name, _turns(layout, there)).otherwise(out)
+        return out
+
+    return name, turns(F.col("_layout"))
 
 
 def escape(text: Column) -> Column:
@@ -128,11 +157,13 @@ def unescape(text: Column) -> Column:
 def format_chat(records: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """One row ``(id_col, layout, n_turns, formatted, loss_mask)`` per record.
 
-    Null roles and texts are empty ones. Records of unknown layout, or all null, format to
+    Null roles and texts are empty ones. Records without a value in any known path format to
     the empty string. Repeated rows and null ids are records of their own; columns that no
-    layout knows are ignored. An empty table gives an empty one.
+    layout knows are ignored, and so are known ones beside a layout that is whole. An empty
+    table gives an empty one.
     """
     name, turns = canonical(records, layouts)
+    records = records.withColumn("_layout", name)
     marked = F.transform(
         turns,
         lambda t: F.struct(
@@ -166,7 +197,7 @@ def format_chat(records: DataFrame, id_col: str = "conv_id", layouts: tuple[Layo
         F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("loss_mask"),
     )
     built = let(marked, lambda ts: F.when(F.size(ts) > 0, build(ts)).otherwise(none))
-    return records.select(id_col, name.alias("layout"), built.alias("_b")).select(id_col, "layout", "_b.*")
+    return records.select(id_col, F.col("_layout").alias("layout"), built.alias("_b")).select(id_col, "layout", "_b.*")
 
 
 def read_back(formatted: Column) -> Column:
