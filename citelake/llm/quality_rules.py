@@ -2,14 +2,15 @@
 
 A document fails the base rules when it is short or mostly repeats itself. Of the others,
 lines are normalised (trimmed, white space runs as one blank, lower case, digits as 0) and
-hashed, and the distinct documents that hold a line are counted per host. A line is above
-the limits when more than ``min_docs`` documents of the host hold it, however many the host
-has; where ``max_share`` is given, more than that share of them too. Documents of equal text count once, and a line stays in the first of its
-documents (the smallest id of the host), so one copy of whatever is repeated survives.
-Lines above the limits are removed, and a document is rejected as depleted when fewer than
-``min_left`` of its words are left.
-
-All of it is DataFrame expressions; what is shuffled is hashes and counts, never texts.
+hashed with their host, and the distinct documents that hold a line are counted. A line is
+above the limit when more than ``min_docs`` documents of the host hold it, however many the
+host has. Documents of equal text count once. Lines above the limit are removed, and a
+document is rejected as depleted when fewer than ``min_left`` of its words are left. With
+``keep_first`` a line stays in the first of its documents (the smallest id of the host), so
+one copy of whatever is repeated survives.
+
+All of it is DataFrame expressions. Lines move as hashes and counts; ``keep_good`` moves the
+documents once, by their key, to where their removed lines are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citelake.llm.common import let, materialize
+from citelake.llm.common import discard, join_back, let, materialize
 
 BLANKS = " \t\n\x0b\f\r"
 SPLIT = "[ \\t-\\r]+"
@@ -86,7 +87,8 @@ def normal_line(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """``(_id, _host, _text, at, line, n)``: a document's lines by place, their words."""
+    """``(_id, _text, at, line, n)``: a document's lines by place, hashed with the host, and
+    their words."""
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"),
@@ -95,49 +97,39 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     ).where(F.btrim("raw", F.lit(BLANKS)) != "")
     normal = let(
         normal_line(F.col("raw")),
-        lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n")),
+        lambda x: F.struct(F.xxhash64("_host", x).alias("line"), F.size(F.split(x, " ")).alias("n")),
     )
-    return rows.select("_id", "_host", "_text", "at", normal.alias("_l")).select("_id", "_host", "_text", "at", "_l.*")
+    return rows.select("_id", "_text", "at", normal.alias("_l")).select("_id", "_text", "at", "_l.*")
 
 
-def frequent_lines(
-    lines: DataFrame, docs: DataFrame, text_col: str, host_col: str, min_docs: int = 20, max_share: float | None = None
-) -> DataFrame:
-    """``(_host, line, first)``: lines above the limits and the id that keeps them."""
-    held = lines.groupBy("_host", "line", "_text").agg(F.min("_id").alias("first"))
-    counts = held.groupBy("_host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
-    often = counts.where(F.col("n_docs") > min_docs)
-    if max_share is None:
-        return often.select("_host", "line", "first")
-    texts = docs.select(
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), F.xxhash64(text_col).alias("_text")
-    )
-    hosts = texts.distinct().groupBy("_host").agg(F.count("*").alias("n_texts"))
-    return (
-        often.join(hosts, "_host")
-        .where(F.col("n_docs") > F.col("n_texts") * max_share)
-        .select("_host", "line", "first")
-    )
+def frequent_lines(lines: DataFrame, min_docs: int = 20) -> DataFrame:
+    """``(line, first)``: lines above the limit and the smallest id that has them."""
+    held = lines.groupBy("line", "_text").agg(F.min("_id").alias("first"))
+    counts = held.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
+    return counts.where(F.col("n_docs") > min_docs).select("line", "first")
 
 
-def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min_docs, max_share, min_left) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first) -> DataFrame:
     """``columns`` with the counts, verdicts and the places of the lines to remove."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.struct(*columns).alias("_row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_key"), _let_stats(text).alias("_s")
     )
     lines = materialize(_lines(docs, id_col, text_col, host_col), "lines")  # hashes; read twice
-    bad = frequent_lines(lines, docs, text_col, host_col, min_docs, max_share)
+    # a line that a third of all documents have is dealt over many tasks
+    found = join_back(lines, frequent_lines(lines, min_docs), "line")
+    if keep_first:
+        found = found.where(~F.col("_id").eqNullSafe(F.col("first")))
     gone = (
-        lines.join(bad, ["_host", "line"])
-        .where(~F.col("_id").eqNullSafe(F.col("first")))
-        .select(F.xxhash64("_id", "_text").alias("_key"), "at", "n")
+        found.select(F.xxhash64("_id", "_text").alias("_key"), "at", "n")
         .distinct()
         .groupBy("_key")
         .agg(F.sum("n").alias("_n"), F.collect_list("at").alias("_at"))
     )
+    gone = materialize(gone, "gone")
+    discard(lines)
     n, repeats = F.col("_s.n_words"), F.col("_s.n_repeat_words")
-    failed = (n < 50) | (100 * repeats > 50 * n)
+    failed = (n < min_words) | (100 * repeats > 50 * n)
     left = n - F.coalesce("_n", F.lit(0))
     return base.join(gone, "_key", "left").select(
         "_row",
@@ -155,8 +147,9 @@ def verdicts(
     text_col: str = "text",
     host_col: str = "source",
     min_docs: int = 20,
-    max_share: float | None = None,
     min_left: float = 0.2,
+    min_words: int = 50,
+    keep_first: bool = False,
 ) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``kept``, ``n_removed_words``.
 
@@ -164,7 +157,7 @@ def verdicts(
     told apart by (id, text): exactly repeated rows share one verdict, as do rows of a null
     id and equal text. Other columns are not read. Empty tables give empty ones.
     """
-    judged = _judged(docs, [id_col], id_col, text_col, host_col, min_docs, max_share, min_left)
+    judged = _judged(docs, [id_col], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first)
     return judged.select(
         F.col("_row")[id_col].alias(id_col),
         "_s.*",
@@ -180,11 +173,12 @@ def keep_good(
     text_col: str = "text",
     host_col: str = "source",
     min_docs: int = 20,
-    max_share: float | None = None,
     min_left: float = 0.2,
+    min_words: int = 50,
+    keep_first: bool = False,
 ) -> DataFrame:
     """The documents that are kept, all columns, their texts without the removed lines."""
-    judged = _judged(docs, docs.columns, id_col, text_col, host_col, min_docs, max_share, min_left)
+    judged = _judged(docs, docs.columns, id_col, text_col, host_col, min_docs, min_left, min_words, keep_first)
     kept = judged.where("_kept").select("_row.*", F.col("_at").alias("_gone_at"))
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_gone_at", i))
     text = F.when(F.col("_gone_at").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))

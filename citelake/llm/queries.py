@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from citelake.llm import (
     topk,
 )
 
-TOKENIZERS = "/opt/tokenizers"
+PIECES, WORD_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -27,7 +28,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_counts.read_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = token_counts.read_pieces(PIECES)
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), pieces)
 
 
@@ -48,8 +49,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the share is in its SQL
-    return quality_rules.verdicts(_read(spark, sf_dir, "documents"), max_share=0.1)
+    return quality_rules.verdicts(_read(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    coded = bpe.encode(_read(spark, sf_dir, "documents"), WORD_BPE)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -96,7 +96,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(_read(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

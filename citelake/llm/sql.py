@@ -61,11 +61,8 @@ s AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words,
 x AS (SELECT rid, doc_id, host, t, unnest(l) AS raw FROM w),
 n AS (SELECT *, regexp_replace(lower(regexp_replace(trim(raw, {_BLANKS}), '{_WS}', ' ', 'g')), '[0-9]', '0', 'g') AS line
       FROM x),
-c AS (SELECT host, line, count(DISTINCT t) AS docs, min(doc_id) AS first FROM n GROUP BY host, line),
-h AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-f AS (SELECT host, line, first FROM c JOIN h USING (host) WHERE docs > 20 AND docs > texts * 0.1),
-o AS (SELECT rid, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS gone
-      FROM n JOIN f USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY rid),
+f AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT t) > 20),
+o AS (SELECT rid, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS gone FROM n JOIN f USING (host, line) GROUP BY rid),
 v AS (SELECT s.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, o.gone FROM s LEFT JOIN o USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND (gone IS NULL OR n_words - gone >= n_words * 0.2)) AS kept,
