@@ -77,8 +77,8 @@ def least_overlap(n, num: int, den: int):
 
 
 def count_vector(s: np.ndarray) -> bytes:
-    """Shingles in each of a power of two of groups, 64 at least, four in one on average."""
-    groups = max(_DIMS, 1 << max(0, len(s) // 4).bit_length())
+    """Shingles in each of a power of two of groups, 64 at least, up to eight in one on average."""
+    groups = max(_DIMS, 1 << (len(s) // 8).bit_length())
     while True:
         counts = np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
         if counts.max(initial=0) < 256:
@@ -444,8 +444,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
     alike = alike.groupBy("k", "s0", "s1").agg(F.min("token").alias("token")).select("token", "k")
     runs = join_back(entries, alike, "token").select("set_id", F.col("token").alias("root"), "k")
     runs = runs.join(firsts.select("set_id", "node", "n", "counts"), "set_id")
-    chunks = F.greatest(F.least(F.lit(16), F.ceil(F.col("k") / 128)), F.ceil(F.col("k") / _CHUNK))
-    bounded = _in_cells(runs, chunks, tasks, num, den, _by_vectors, "n", "counts")
+    bounded = _in_cells(runs, F.ceil(F.col("k") / _CHUNK), tasks, num, den, _by_vectors, "n", "counts")
     near = with_roots(connected_components(bounded))
     discard(entries)
 
@@ -470,7 +469,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
             )
 
     loaded = picked.mapInArrow(tidy(load), "root long, node long, k long, total long, shingles binary")
-    chunks = F.greatest(chunks, F.ceil(F.col("total") / _CHUNK_SHINGLES))
+    # sets are larger than points, so their cells are smaller
+    several = F.least(F.lit(16), F.ceil(F.col("k") / 128))
+    chunks = F.greatest(several, F.ceil(F.col("k") / _CHUNK), F.ceil(F.col("total") / _CHUNK_SHINGLES))
     links = _in_cells(loaded, chunks, tasks, num, den, _by_sets, "shingles")
     joined = connected_components(links)
     smallest = firsts.join(with_roots(joined), "node", "left").select(
