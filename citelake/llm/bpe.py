@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import kept
+from citelake.llm.common import discard, kept, materialize, tidy
 from citelake.llm.lexicon import Lexicon, compile_words
 from citelake.llm.textarrays import slices, spans
 
@@ -41,7 +41,7 @@ _SHIFT = 20
 _LOW = (1 << _SHIFT) - 1
 _LONG = 48
 CHUNKS_KEPT = 1_000_000
-_RUN_BYTES = 3 << 20
+_RUN_BYTES = 1 << 20
 #: Unicode White_Space
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: blanks for str.split() that aren't White_Space
@@ -358,45 +358,77 @@ def loaded(content: bytes, kind=Bpe):
 
 
 def frequent_words(docs: DataFrame, spec, text_col: str = "text", size: int = 32_768) -> dict[str, list[int]]:
-    """The corpus' ``size`` most frequent words with their ids.
+    """The corpus' most frequent words, about ``size``, with their ids.
 
-    Tasks pass on the count of every word of each run of texts, so the sums are those of the
-    corpus, however it is cut. Which words the lexicon holds changes speed, never ids.
+    Tasks pass on the count of every chunk between blanks, run by run, so the sums are those
+    of the corpus, however it is cut; distinct chunks are split into words. A histogram of
+    the counts, 1,024 rows at most, says down to which count the words are taken, and what
+    share, by hash, of those that stand on the edge. So the driver gets about ``size`` words,
+    whatever the corpus has. Which words the lexicon holds changes speed, never ids.
     """
 
-    def count(batches):
-        bpe = loaded(spec.value)
-
-        def flush(held):
-            hashes = np.concatenate([h for _, h, *_ in held])
-            uniq, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            ends = np.cumsum([len(h) for _, h, *_ in held])
-            words: Counter[str] = Counter()
-            for k, c in zip(at.tolist(), n.tolist(), strict=True):
-                p = int(np.searchsorted(ends, k, "right"))
-                raw, h, _, first, last = held[p]
-                k -= int(ends[p]) - len(h)
-                for word in bpe.split(raw[first[k] : last[k] + 1].tobytes().decode("utf-8", "replace")):
-                    words[word] += c
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"]
-            )
-
+    def chunks(batches):
         for batch in batches:
             held, size = [], 0
             for _, stop, raw, at in slices(batch.column(0)):
-                held.append((raw, *spans(raw, at)))
+                hashes, _, first, last = spans(raw, at)
+                _, place, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((hashes[place], n, _cut_out(raw, first[place], last[place] + 1)))
                 size += len(raw)
                 if size >= _RUN_BYTES or stop == len(batch):
-                    yield flush(held)
+                    h, n, texts = zip(*held, strict=True)
+                    _, place, back = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
+                    total = np.bincount(back, np.concatenate(n)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.concat_arrays(texts).take(pa.array(place)), pa.array(total)], names=["chunk", "n"]
+                    )
                     held, size = [], 0
 
-    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.where(~F.startswith("word", F.lit(" ")))
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    def split(batches):
+        bpe = loaded(spec.value)
+        for batch in batches:
+            words: Counter[str] = Counter()
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word in bpe.split(chunk):
+                    words[word] += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"]
+            )
+
+    counts = docs.select(text_col).mapInArrow(tidy(chunks), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counts = counts.mapInArrow(tidy(split), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    bits = F.length(F.bin("n"))
+    level = F.struct(bits.alias("bits"), F.expr("shiftright(n, greatest(length(bin(n)) - 5, 0))").alias("lead"))
+    counts = counts.where(~F.startswith("word", F.lit(" "))).withColumn("level", level)
+    counts = materialize(counts, "words")
+    left, whole, share = size, [], (None, 0)
+    for row in counts.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if row["n"] > left:
+            share = row["level"], (left << 20) // row["n"]
+            break
+        whole, left = row["level"], left - row["n"]
+    taken = F.lit(False)
+    for edge, test in ((whole, F.col("level") >= _level(whole)), (share[0], (F.col("level") == _level(share[0])) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share[1]))):
+        if edge:
+            taken = taken | test
+    top = sorted(r["word"] for r in counts.where(taken).select("word").collect())
+    discard(counts)
     return dict(zip(top, Bpe(spec.value).merge_all(top), strict=True))
 
 
+def _level(row):
+    return F.struct(F.lit(row["bits"]).alias("bits"), F.lit(row["lead"]).cast("long").alias("lead")) if row else F.lit(None)
+
+
+def _cut_out(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The strings at ``raw[first:stop]``."""
+    lens = stop - first
+    ends = np.cumsum(lens)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + lens, lens)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets), pa.py_buffer(raw[at]))
+
+
 def encode(
     docs: DataFrame,
     tokenizer_path: str,
@@ -440,4 +472,4 @@ def encode(
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
