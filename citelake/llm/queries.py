@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from citelake.llm import (
     bpe,
     chat_format,
+    divergence,
+    hard_negatives,
     jaccard_join,
     lm_scoring,
+    mixing,
     packing,
     quality_rules,
     secret_scan,
@@ -103,6 +106,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -114,4 +131,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
