@@ -199,13 +199,13 @@ def _positives(index: AngleIndex, part: pa.RecordBatch, width: int, k: int) -> l
     return out
 
 
-def window(positive: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def window(positives: list[int], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Whole scores s with low * positive <= 100 * s <= high * positive."""
-    return -((-low * positive) // 100), (high * positive) // 100
+    return np.array([-(-low * p // 100) for p in positives], np.int64), np.array([high * p // 100 for p in positives], np.int64)
 
 
 def _negatives(index: AngleIndex, part: pa.RecordBatch, width: int, k: int, low: int, high: int) -> list[tuple]:
-    asked = [window(np.array(s, np.int64), low, high) for s in part.column("positives").to_pylist()]
+    asked = [window(s, low, high) for s in part.column("positives").to_pylist()]
     anchors = _anchors(part, width, np.array([a.min() for a, _ in asked]), np.array([b.max() for _, b in asked]))
     scores, out = index.scores(anchors, False), []
     for a, (own, q) in enumerate(zip(part.column("id").to_pylist(), part.column("q").to_pylist(), strict=True)):
@@ -285,7 +285,7 @@ def mine(
     An anchor's other rows are those of other ids. Equal anchor rows are one anchor; equal
     rows are ranked each. A shorter vector counts as filled up with zeros. A positive without
     negatives in its window, and an anchor without positives, have no row. Labels are whole
-    numbers; scores, times ``high``, must fit in 64 bits. An empty table gives an empty one.
+    numbers; scores must fit in 64 bits. An empty table gives an empty one.
     """
     spark = rows.sparkSession
     base = whole_vectors(rows, id_col, vector_col, label_col)
