@@ -297,23 +297,29 @@ def _title_words(t: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
+def comparable_title(t: Column) -> Column:
+    """A title as ``title_similarity`` compares it: without markup and a closing year, lower
+    case, words with one blank between; '' for null."""
+    year = r"[,\s]*\b(?:19|20)[0-9]{2}\b\s*$"
+    low = F.trim(F.regexp_replace(F.trim(F.lower(strip_latex(strip_html(t)))), year, ""))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\w\s]", " "), r"\s+", " ")), F.lit(""))
+
+
+def without_edition(t: Column) -> Column:
+    return F.regexp_replace(t, r"\s+(?:second|third|fourth|fifth|revised|updated|new|latest|[0-9]+(?:st|nd|rd|th))\s+edition$", "")
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """From 0 to 1: equal after normalising (also compact, and without an edition) is 1;
     one inside the other 0.95 from four fifths of its length, else 0.7; otherwise the
     Jaccard share of words that are no stop words, at least 0.85 where nine tenths of the
     smaller set and seven tenths of the union agree, and 0.7 of it plus 0.3 for agreement
     of word pairs in order below that. A null or empty title is like nothing."""
-    year = r"[,\s]*\b(?:19|20)[0-9]{2}\b\s*$"
-
-    def norm(t):
-        low = F.trim(F.regexp_replace(F.trim(F.lower(strip_latex(strip_html(t)))), year, ""))
-        return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\w\s]", " "), r"\s+", " ")), F.lit(""))
-
-    return let(F.struct(norm(a).alias("x"), norm(b).alias("y")), lambda t: _similarity(t["x"], t["y"]))
+    return let(F.struct(comparable_title(a).alias("x"), comparable_title(b).alias("y")), lambda t: comparable_similarity(t["x"], t["y"]))
 
 
-def _similarity(x: Column, y: Column) -> Column:
-    edition = r"\s+(?:second|third|fourth|fifth|revised|updated|new|latest|[0-9]+(?:st|nd|rd|th))\s+edition$"
+def comparable_similarity(x: Column, y: Column) -> Column:
+    """``title_similarity`` of two comparable titles."""
     longer = F.length(x) < F.length(y)
     short, full = F.when(longer, x).otherwise(y), F.when(longer, y).otherwise(x)
 
@@ -332,7 +338,7 @@ def _similarity(x: Column, y: Column) -> Column:
         F.when((x == "") | (y == ""), 0.0)
         .when(x == y, 1.0)
         .when(F.replace(x, F.lit(" "), F.lit("")) == F.replace(y, F.lit(" "), F.lit("")), 1.0)
-        .when(F.regexp_replace(x, edition, "") == F.regexp_replace(y, edition, ""), 1.0)
+        .when(without_edition(x) == without_edition(y), 1.0)
         .when(F.contains(full, short), F.when(F.length(short) >= 0.8 * F.length(full), 0.95).otherwise(0.7))
         .otherwise(let(words, by_words))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelake.functions import names, scoring, text
-from citelake.operators import citations, deltas, results
+from citelake.operators import citations, deltas, results, similarity
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -168,16 +168,31 @@ def doubt_triage(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.triage(status, overlap).alias("triage"))
 
 
-@register()
+_WORD_SETS = "list_filter(list_distinct(string_split({0}, ' ')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w))"
+
+
+@register(
+    f"""
+    WITH r AS (SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS t FROM part),
+    d AS (SELECT t, {_WORD_SETS.format("t")} AS w, string_split(t, ' ') AS k FROM (SELECT DISTINCT t FROM r)),
+    p AS (SELECT x.t AS a, y.t AS b, x.k AS ka, len(list_intersect(x.w, y.w)) AS s, len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)) AS u, least(len(x.w), len(y.w)) AS m,
+                 CASE WHEN length(x.t) < length(y.t) THEN x.t ELSE y.t END AS short, CASE WHEN length(x.t) < length(y.t) THEN y.t ELSE x.t END AS long
+          FROM d x JOIN d y ON x.t < y.t AND (len(list_intersect(x.w, y.w)) >= 2 OR contains(x.t, y.t) OR contains(y.t, x.t) OR replace(x.t, ' ', '') = replace(y.t, ' ', ''))),
+    q AS (SELECT a, b, CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 1.0
+                  WHEN contains(long, short) THEN CASE WHEN length(short) >= 0.8 * length(long) THEN 0.95 ELSE 0.7 END
+                  WHEN s >= 0.9 * m AND s / u >= 0.7 THEN greatest(0.85, s / u)
+                  ELSE least(1.0, 0.7 * (s / u) + 0.3 * (len(list_filter(range(1, len(ka)), lambda i: contains(b, ka[i] || ' ' || ka[i + 1]))) / (len(ka) - 1))) END AS score FROM p),
+    e AS (SELECT a AS t, b AS u, score FROM q WHERE score >= 0.65 UNION ALL SELECT b, a, score FROM q WHERE score >= 0.65
+          UNION ALL SELECT t, t, 1.0 FROM d),
+    c AS (SELECT x.p_partkey, y.p_partkey AS other, score FROM r x JOIN e USING (t) JOIN r y ON y.t = e.u AND x.p_partkey <> y.p_partkey),
+    w AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS n FROM c)
+    SELECT p_partkey, other, round(CAST(score AS DOUBLE), 6) AS score FROM w WHERE n = 1"""
+)
 def title_similarity_matches(spark, sf_dir):
-    """Names of one brand and first word, scored; the best per part at 0.5 or more."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    keyed = parts.withColumn("b", F.concat_ws("|", "p_brand", F.split_part("t", F.lit(" "), F.lit(1))))
-    other = keyed.select("b", F.col("p_partkey").alias("other"), F.col("t").alias("u"))
-    pairs = keyed.join(other, "b").where("p_partkey <> other")
-    scored = pairs.withColumn("score", text.title_similarity(F.col("t"), F.col("u"))).where("score >= 0.5")
-    best = scored.groupBy("p_partkey").agg(F.max_by(F.struct("score", "other"), F.struct("score", -F.col("other"))).alias("m"))
-    return best.select("p_partkey", "m.other", F.round("m.score", 6).alias("score"))
+    """The most similar other title of each part, of all parts, at 0.65 or more."""
+    title = F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("t")
+    best = similarity.best_similar(table(spark, sf_dir, "part").select("p_partkey", title), "p_partkey", "t", 0.65)
+    return best.select("p_partkey", "other", F.round("score", 6).alias("score"))
 
 
 @register()

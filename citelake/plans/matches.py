@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelake.functions import scoring, text
-from citelake.operators import deltas, matching, rollup
+from citelake.operators import deltas, matching, rollup, similarity
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -80,17 +80,18 @@ def typo_match(spark, sf_dir):
 
 @register(
     """
-    SELECT x.p_partkey AS p_partkey_a, y.p_partkey AS p_partkey_b,
-           array_to_string(list_filter([CASE WHEN x.p_type <> y.p_type THEN 'p_type' END, CASE WHEN x.p_size <> y.p_size THEN 'p_size' END],
-                           lambda v: v IS NOT NULL), ',') AS differs
-    FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey
+    WITH w AS (SELECT *, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
+    f AS (SELECT k, min(p_partkey) AS first FROM w GROUP BY 1)
+    SELECT y.p_partkey, f.first,
+           array_to_string(list_filter([CASE WHEN x.p_type <> y.p_type THEN 'p_type' END, CASE WHEN x.p_size <> y.p_size THEN 'p_size' END], lambda v: v IS NOT NULL), ',') AS differs
+    FROM w y JOIN f USING (k) JOIN part x ON x.p_partkey = f.first AND y.p_partkey <> f.first
     WHERE x.p_type <> y.p_type OR x.p_size <> y.p_size"""
 )
 def discrepancy_pairs(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    pairs = matching.blocked_pairs(parts, "p_partkey", F.concat_ws("|", "p_name", "p_brand"), ["p_type", "p_size"])
-    found = matching.differences(pairs, ["p_type", "p_size"])
-    return found.select("p_partkey_a", "p_partkey_b", F.array_join("differs", ",").alias("differs"))
+    """Parts of one name and brand against the first of them."""
+    parts = table(spark, sf_dir, "part").withColumn("title", F.concat_ws(" ", "p_brand", "p_name"))
+    found = similarity.discrepancies(parts, "p_partkey", "title", ["p_type", "p_size"])
+    return found.select("p_partkey", "first", F.array_join("differs", ",").alias("differs"))
 
 
 @register(
