@@ -212,10 +212,24 @@ SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 
 
 def name_parts(author: Column) -> Column:
-    """``struct<family, last, initials, words>`` of ``First M. Last``, ``Last, First M.`` and
-    ``Last FM``: the surname with and without its particles, letters alone; the initials in
-    order; all words, sorted. A name of one word has no initials."""
-    flat = F.regexp_replace(fold_diacritics(straight_apostrophes(F.trim(author))), r"[.\u00b4]", " ")
+    """``struct<family, last, spelled, initials, words, own, short, turned>`` of ``First M.
+    Last``, ``Last, First M.`` and ``Last FM``: the surname with and without its particles,
+    letters alone, and as it is spelled with ae, oe, ue for umlauts; the initials in order; all
+    words, sorted; the surname's words; whether the given names are initials alone; and, of a
+    name without comma, its first word and the initials of the others, for names written
+    family first. A name of one word has no initials."""
+    plain = straight_apostrophes(F.trim(author))
+    for mark, two in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue")):
+        plain = F.replace(plain, F.lit(mark), F.lit(two + "\u0001"))
+    # the second letter of a spelled umlaut carries a mark: without both letters it is the folded form
+    return let(plain, lambda p: _name_parts(F.regexp_replace(p, "e\u0001", ""), F.replace(p, F.lit("\u0001"), F.lit(""))))
+
+
+def _name_parts(folded: Column, spelled: Column) -> Column:
+    def flatten(t):
+        return F.regexp_replace(fold_diacritics(t), r"[.\u00b4]", " ")
+
+    flat = flatten(folded)
     bare = F.trim(F.regexp_replace(flat, r"(?i)[,\s]+(?:" + "|".join(SUFFIXES) + r")\s*$", ""))
 
     def tokens(t):
@@ -246,14 +260,22 @@ def name_parts(author: Column) -> Column:
             return F.regexp_replace(F.lower(F.array_join(w, "")), "[^a-z]", "")
 
         own = F.filter(family, lambda w: ~F.lower(w).isin(*PARTICLES))
+        own = F.when(F.size(own) > 0, own).otherwise(family)
+        # the surname's place among the words is that of the folded name's
+        as_spelled = F.slice(x["spelled"], F.greatest(F.array_position(every, F.get(own, F.lit(0))).cast("int"), F.lit(1)), F.greatest(F.size(own), F.lit(1)))
+        turned = F.when(~comma & (n >= 3), F.struct(letters_of(F.slice(every, 1, 1)).alias("last"), F.lower(F.array_join(F.transform(F.slice(every, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda w: F.substring(w, 1, 1)), "")).alias("initials")))
         return F.struct(
             letters_of(family).alias("family"),
-            letters_of(F.when(F.size(own) > 0, own).otherwise(family)).alias("last"),
+            letters_of(own).alias("last"),
+            letters_of(as_spelled).alias("spelled"),
             F.lower(F.array_join(initials, "")).alias("initials"),
             F.array_sort(F.transform(every, lambda w: F.lower(w))).alias("words"),
+            F.transform(own, lambda w: F.lower(w)).alias("own"),
+            ((F.size(given) > 0) & F.forall(given, lambda w: w.rlike(letters))).alias("short"),
+            turned.alias("turned"),
         )
 
-    return let(F.struct(bare.alias("t"), F.contains(bare, F.lit(",")).alias("comma"), tokens(bare).alias("every")), split)
+    return let(F.struct(bare.alias("t"), F.contains(bare, F.lit(",")).alias("comma"), tokens(bare).alias("every"), tokens(flatten(spelled)).alias("spelled")), split)
 
 
 def surname(author: Column) -> Column:
@@ -264,13 +286,37 @@ def surname(author: Column) -> Column:
     return F.regexp_replace(F.lower(fold_diacritics(last)), "[^a-z]", "")
 
 
+def _short_of_compound(x: Column, y: Column) -> Column:
+    """``x``, a surname and initials, is a short form of ``y``: its surname's words are all among
+    those of ``y``, and each initial begins another of them (``Silva DO`` and ``de Oliveira SD``
+    of ``Danilo de Oliveira Silva``)."""
+    others = F.filter(y["words"], lambda w: ~F.array_contains(x["own"], w) & ~w.isin(*PARTICLES))
+    letters = F.split(x["initials"], "")
+    begun = F.forall(letters, lambda c: F.exists(others, lambda w: F.startswith(w, c)))
+    within = F.forall(x["own"], lambda w: F.array_contains(y["words"], w) & (F.length(w) > 1))
+    return x["short"] & ~y["short"] & (F.size(y["own"]) > 1) & within & begun & (F.length(x["initials"]) <= F.size(others))
+
+
 def same_parts(x: Column, y: Column) -> Column:
     """Whether two ``name_parts`` may be one person's: the same words in any order, or surnames
-    that agree, particles aside, and initials of which one side's open the other's. A bare
-    surname agrees with any initials."""
-    family = (x["last"] != "") & ((x["last"] == y["last"]) | (x["family"] == y["family"]))
+    that agree, particles and the spelling of umlauts aside, and initials of which one side's
+    open the other's; a short form of a name with several surnames; a name written family
+    first against one whose initials are all its others. A bare surname agrees with any
+    initials."""
+    family = (x["last"] != "") & ((x["last"] == y["last"]) | (x["family"] == y["family"]) | (x["spelled"] == y["last"]) | (x["last"] == y["spelled"]))
     opens = F.startswith(x["initials"], y["initials"]) | F.startswith(y["initials"], x["initials"])
-    return ((F.size(x["words"]) > 1) & (x["words"] == y["words"])) | (family & opens)
+
+    def turned(a, b):
+        return F.coalesce((a["turned"]["last"] == b["last"]) & (a["turned"]["initials"] == b["initials"]) & b["short"], F.lit(False))
+
+    return (
+        ((F.size(x["words"]) > 1) & (x["words"] == y["words"]))
+        | (family & opens)
+        | turned(x, y)
+        | turned(y, x)
+        | _short_of_compound(x, y)
+        | _short_of_compound(y, x)
+    )
 
 
 def same_author(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Cached and merged records: fuzzy look-ups, enrichment, sources side by side."""
+"""Cached and merged records: fuzzy look-ups, sources side by side."""
 
 from __future__ import annotations
 
@@ -114,19 +114,3 @@ def ranked_suggestions(candidates: DataFrame, ref: str, title: str, doi: str, ov
     ranked = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     win = (F.col("rank") == 1) & (F.col("b.o") < 0)
     return ranked.select(ref, "rank", F.col("b.t").alias(title), (-F.col("b.o")).alias(overlap), win.alias("winner"))
-
-
-def duplicate_references(refs: DataFrame, ref: str) -> DataFrame:
-    """``(ref, kept)`` of references that repeat an earlier one: equal titles (in lower case),
-    or equal authors where one title holds the other. Titles meet by equality; authors' lists
-    meet by equality and their titles in pairs of a list. ``ref`` orders them; null or empty
-    titles repeat nothing."""
-    some = refs.select(F.col(ref).alias("r"), F.lower("title").alias("t"), F.lower("authors").alias("a")).where("t <> ''")
-    by_title = some.groupBy("t").agg(F.min("r").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    same = some.join(by_title, "t").where("r <> kept").select("r", "kept")
-    lists = some.where("a <> ''").groupBy("a", "t").agg(F.min("r").alias("r"))
-    other = lists.select("a", F.col("t").alias("t2"), F.col("r").alias("kept"))
-    alike = lists.join(other, "a").where((F.col("t") != F.col("t2")) & (F.contains("t", F.col("t2")) | F.contains("t2", F.col("t"))))
-    first = alike.groupBy("a", "t").agg(F.min("kept").alias("kept"))
-    held = some.join(first, ["a", "t"]).where("kept < r")
-    return same.union(held.select("r", "kept")).groupBy(F.col("r").alias(ref)).agg(F.min("kept").alias("kept"))

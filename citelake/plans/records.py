@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citelake.functions import records
-from citelake.operators import caches
+from citelake.operators import caches, duplicates
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -216,15 +217,33 @@ def alternative_suggestions(spark, sf_dir):
 
 @register(
     """
-    WITH r AS (SELECT p_partkey AS r, lower(CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name || ' ' || p_type END) AS t, lower(p_brand || ' ' || p_type) AS a FROM part),
-    s AS (SELECT x.r, y.r AS kept FROM r x JOIN r y ON x.t = y.t AND y.r < x.r
-          UNION ALL SELECT x.r, y.r FROM r x JOIN r y ON x.a = y.a AND y.r < x.r AND (contains(x.t, y.t) OR contains(y.t, x.t)))
-    SELECT r AS p_partkey, min(kept) AS kept FROM s GROUP BY 1"""
+    WITH RECURSIVE r AS (SELECT l_orderkey AS list, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i,
+                  CASE l_linenumber % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE 'on the ' || p_name || ' of ' || p_type END AS title, 'a' || l_suppkey % 3 AS authors
+           FROM lineitem JOIN part ON l_partkey = p_partkey),
+    s(list, i, kept) AS (
+        SELECT list, i, [{'i': i, 't': lower(title), 'a': authors}] FROM r WHERE i = 1
+        UNION ALL
+        SELECT r.list, r.i, CASE WHEN len(list_filter(s.kept, lambda k: k.t = lower(title) OR (k.a = authors AND (contains(k.t, lower(title)) OR contains(lower(title), k.t))))) > 0
+                                 THEN s.kept ELSE list_append(s.kept, {'i': r.i, 't': lower(title), 'a': authors}) END
+        FROM s JOIN r ON r.list = s.list AND r.i = s.i + 1),
+    fin AS (SELECT list, arg_max(kept, i) AS kept FROM s GROUP BY list)
+    SELECT r.list AS l_orderkey, CAST(count(*) AS BIGINT) AS n_references, CAST(count(*) FILTER (WHERE NOT list_contains(list_transform(kept, lambda k: k.i), r.i)) AS BIGINT) AS n_repeated,
+           CAST(sum(i) FILTER (WHERE NOT list_contains(list_transform(kept, lambda k: k.i), r.i)) AS BIGINT) AS places
+    FROM r JOIN fin USING (list) GROUP BY 1"""
 )
 def repeated_references(spark, sf_dir):
-    title = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type"))
-    refs = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("authors"))
-    return caches.duplicate_references(refs, "p_partkey")
+    """Orders as lists of references: the lines' parts as titles, in capitals or inside others."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, "l_partkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    longer = F.concat(F.lit("on the "), "p_name", F.lit(" of "), "p_type")
+    title = F.when(F.col("l_linenumber") % 3 == 0, F.upper("p_name")).when(F.col("l_linenumber") % 3 == 1, F.col("p_name")).otherwise(longer)
+    authors = F.concat(F.lit("a"), (F.col("l_suppkey") % 3).cast("string"))
+    refs = lines.select("l_orderkey", place.alias("i"), title.alias("title"), authors.alias("authors"), F.lit("").alias("venue"))
+    refs = refs.withColumn("ref", F.col("l_orderkey") * 1000 + F.col("i"))
+    gone = duplicates.repeated(refs, "ref", "l_orderkey").select("ref", F.lit(1).alias("gone"))
+    marked = refs.join(gone, "ref", "left")
+    return marked.groupBy("l_orderkey").agg(F.count("*").alias("n_references"), F.count("gone").alias("n_repeated"), F.sum(F.when(F.col("gone") == 1, F.col("i"))).cast("long").alias("places"))
 
 
 @register("SELECT doc_id, text IS NOT NULL AND regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') AS dirty, replace(coalesce(text, ''), chr(1), '') = coalesce(text, '') AS same FROM documents WHERE doc_id >= 0")

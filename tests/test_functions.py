@@ -121,17 +121,6 @@ def test_venues(spark, a, b, differ):
     assert one(spark, venues_differ(F.lit(a).cast("string"), F.lit(b))) is differ
 
 
-def test_author_lists(spark):
-    from citelake.functions.names import compare_authors
-
-    lists = lambda x, y: one(spark, compare_authors(F.array(*map(F.lit, x)), F.array(*map(F.lit, y))))
-    full = ["Ann Bee", "Cy Dee", "Eve Fox"]
-    assert lists(full, full) == "" and lists(["Bee, A.", "et al."], full) == ""
-    assert lists(["Cy Dee", "Ann Bee", "Eve Fox"], full) == "order"
-    assert lists(["Ann Bee", "Cy Dee"], full) == "count"
-    assert lists(["Zed Zoo"], full) == "not found: Zed Zoo"
-
-
 def test_word_diff(spark):
     from citelake.functions.names import word_diff
 

@@ -97,3 +97,55 @@ def test_contained_pairs_within_a_key(spark):
     df = spark.createDataFrame(rows, "id long, who string, t string")
     got = similarity.contained_pairs(df, "id", "t", ("who",))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (4, 2)]
+
+
+def says_the_same(x, y):
+    """The rule by itself, on plain values."""
+    import re
+
+    (t, a, v), (u, b, w) = x, y
+    if not t or not u:
+        return False
+    if t == u:
+        return True
+    number = r"arxiv\s*preprint\s*arxiv:[0-9]{4}\.[0-9]{4,5}"
+    if bool(re.search(number, t)) != bool(re.search(number, u)):
+        one, two = (re.findall(r"arxiv:[0-9]{4}\.[0-9]{4,5}", s) for s in (v, w))
+        if one and two and one[0] == two[0]:
+            return True
+        p, q = ({n.strip() for n in s.split(";")} - {"", "et al"} for s in (a, b))
+        if p and q and len(p & q) / min(len(p), len(q)) >= 0.5:
+            return True
+    return bool(a) and a == b and min(len(t), len(u)) > 2 and (t in u or u in t)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_references_are_those_of_reading_in_order(spark, seed):
+    from citelake.operators import duplicates
+
+    rng = random.Random(seed)
+    base = ["deep nets", "on deep nets", "deep nets, again: a study", "graphs", "on graphs", "on graphs and deep nets", "ArXiv preprint arXiv:2101.00001", "arxiv preprint arxiv:2202.12345", "étude", "une étude", "", None]
+    people = ["Ann Ek; Bo Quist", "ann ek; bo quist", "Ann Ek; Cy Diaz; Di Moe", "Cy Diaz; et al", "", None]
+    venues = ["arXiv:2101.00001", "CoRR arXiv:2202.12345", "NeurIPS", None]
+    rows = [(k, rng.randrange(4), rng.choice(base), rng.choice(people), rng.choice(venues)) for k in range(160)]
+    want = {}
+    for which in range(4):
+        stay = []
+        for k, _, *values in (r for r in rows if r[1] == which):
+            own = tuple((v or "").strip().lower() for v in values)
+            said = [i for i, other in stay if says_the_same(own, other)]
+            if said:
+                want[k] = said[0]
+            else:
+                stay.append((k, own))
+    df = spark.createDataFrame(rows, "ref long, list int, title string, authors string, venue string").repartition(3)
+    assert {r["ref"]: r["kept"] for r in duplicates.repeated(df, "ref", "list").collect()} == want
+
+
+def test_a_reference_that_goes_takes_no_other_with_it(spark):
+    from citelake.operators import duplicates
+
+    rows = [(1, "deep nets and graphs", "a", ""), (2, "deep nets", "a", ""), (3, "deep nets", "b", ""), (4, "nets", "b", "")]
+    df = spark.createDataFrame(rows, "ref long, title string, authors string, venue string")
+    assert sorted(map(tuple, duplicates.repeated(df, "ref").collect())) == [(2, 1), (4, 3)]
+    assert duplicates.repeated(df.limit(0), "ref").count() == 0
