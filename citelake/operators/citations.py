@@ -73,11 +73,6 @@ def contexts(docs: DataFrame, doc: str, text: Column, width: int = 120) -> DataF
     return rows.select(doc, F.explode(expand_marker(F.col("marker"))).alias("number"), around.alias("context"))
 
 
-def renumbered(marks: DataFrame, inserted: int) -> DataFrame:
-    """Numbers after a reference is inserted at ``inserted``: those from it on shift by one."""
-    return marks.withColumn("new_number", F.col("number") + F.when(F.col("number") >= inserted, 1).otherwise(0))
-
-
 def dense_numbers(marks: DataFrame, doc: str) -> DataFrame:
     """Numbers by order of first mention."""
     first = marks.groupBy(doc, "number").agg(F.min("at").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelake.functions import names, scoring, text
-from citelake.operators import citations, deltas, results, similarity
+from citelake.operators import citations, deltas, markers, results, similarity
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -83,6 +83,104 @@ def citation_audit(spark, sf_dir):
     return out.select("d", "abstains", *[F.array_join(c, ",").alias(c) for c in lists])
 
 
+_CITING = """w AS (SELECT l_orderkey AS d, l_orderkey % 3 AS s, l_linenumber AS number, split_part(p_name, ' ', 2) AS noun, 1990 + p_size AS y, CAST(l_quantity AS INT) % 9 + 1 AS q,
+             l_discount > 0.09 AS bad, l_returnflag = 'R' AS lost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
+    k AS (SELECT d, greatest(max(number), count(*)) AS cap, count(*) AS total FROM w GROUP BY 1),
+    st AS (SELECT d, CASE WHEN any_value(s) = 0 AND count(*) FILTER (WHERE bad OR q <= cap) >= 3 THEN 'bracket'
+                          WHEN any_value(s) = 1 AND count(DISTINCT CASE WHEN lost THEN 'qx97' ELSE left(noun, 3) || y END) >= 3 THEN 'alpha-key'
+                          WHEN any_value(s) = 2 AND count(DISTINCT noun || y) >= 3 THEN 'author-year' END AS style FROM w JOIN k USING (d) GROUP BY 1)"""
+
+
+def _citing(spark, sf_dir):
+    """Orders as papers: a line is a reference (its number; the noun of the part's name as
+    author; 1990 and the size as year) and a sentence that cites: by numbers, alpha keys or
+    author and year, as the order's number has it."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("noun"), (1990 + F.col("p_size")).alias("year"))
+    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    q = F.col("l_quantity").cast("int") % 9 + 1
+    number = F.when(F.col("l_discount") > 0.09, F.format_string("[%d–%d]", q + 2, q)).otherwise(F.format_string("[%d]", q))
+    alpha = F.when(F.col("l_returnflag") == "R", "[Qx97]").otherwise(F.concat(F.lit("["), F.left("noun", F.lit(3)), F.right(F.col("year").cast("string"), F.lit(2)), F.lit("]")))
+    dated = F.concat(F.lit("("), "noun", F.lit(" et al., "), F.col("year").cast("string"), F.lit(")"))
+    kind = F.col("l_orderkey") % 3
+    sentence = F.concat(F.lit("It is known that all of this holds "), F.when(kind == 0, number).when(kind == 1, alpha).otherwise(dated), F.lit(" in most cases."))
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", sentence.alias("s"))
+    docs = lines.groupBy(F.col("l_orderkey").alias("d")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["s"]), "\n").alias("text"))
+    bibliography = F.lit("\nReferences\n[1] Someone, 1999. [2] Someone else, 2001. [3] Nobody, 2002.")
+    refs = lines.select(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("number"), F.array("noun").alias("authors"), F.col("year"))
+    return docs.withColumn("text", F.concat("text", bibliography)), refs
+
+
+@register(
+    f"""
+    WITH {_CITING},
+    c AS (SELECT d, q AS number, min(pos) AS fst FROM w WHERE s = 0 AND NOT bad GROUP BY 1, 2),
+    r AS (SELECT d, number, count(*) AS times FROM w WHERE s = 0 GROUP BY 1, 2),
+    b AS (SELECT d, number, fst, times, cap, total, fst IS NOT NULL AND number <= cap AS inside FROM c FULL JOIN r USING (d, number) JOIN k USING (d) JOIN st USING (d) WHERE style = 'bracket'),
+    o AS (SELECT *, max(CASE WHEN inside THEN number END) OVER v AS high, CASE WHEN inside THEN last_value(CASE WHEN inside THEN number END IGNORE NULLS) OVER v END AS prev
+          FROM b WINDOW v AS (PARTITION BY d ORDER BY fst NULLS FIRST, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    a AS (SELECT d, count(*) >= 3 AND count(DISTINCT noun) >= greatest(3, floor(0.5 * count(*))) AND count(*) FILTER (WHERE noun <= nxt) >= 0.8 * count(nxt) AS by_author
+          FROM (SELECT d, noun, lead(noun) OVER (PARTITION BY d ORDER BY number, noun) AS nxt FROM w) GROUP BY 1),
+    p AS (SELECT d, count(*) FILTER (WHERE inside) AS n_in, count(*) FILTER (WHERE fst IS NOT NULL AND NOT inside) AS n_out, count(*) FILTER (WHERE inside AND times > 0) AS n_both, any_value(total) AS total,
+                 list(number ORDER BY number) FILTER (WHERE fst IS NOT NULL AND times IS NULL) AS undefined, list(number ORDER BY number) FILTER (WHERE times > 1) AS dup,
+                 list(number ORDER BY number) FILTER (WHERE fst IS NULL) AS unc, list(number ORDER BY number) FILTER (WHERE inside AND number < high) AS late,
+                 count(prev) AS steps, count(*) FILTER (WHERE prev >= number) AS falls,
+                 min(number) FILTER (WHERE inside AND times > 0) AS low, max(number) FILTER (WHERE inside AND times > 0) AS top FROM o GROUP BY 1),
+    e AS (SELECT d, list_sort(list(DISTINCT 'reversed ' || (q + 2) || ' ' || q)) AS errors FROM w WHERE s = 0 AND bad GROUP BY 1),
+    n AS (SELECT d, n_in < 3 OR n_out > 0.3 * (n_in + n_out) AS abstains, undefined, errors, dup,
+                 CASE WHEN n_both >= 0.5 * total AND n_both > 0 THEN list_filter(unc, lambda x: x BETWEEN low AND top) END AS gap, CASE WHEN n_both >= 0.5 * total AND n_both > 0 THEN list_filter(unc, lambda x: x NOT BETWEEN low AND top) END AS uncited,
+                 CASE WHEN NOT (by_author OR (steps >= 3 AND falls = steps)) THEN late END AS late FROM p JOIN a USING (d) LEFT JOIN e USING (d)),
+    ac AS (SELECT DISTINCT d, CASE WHEN lost THEN 'qx' ELSE left(noun, 3) END AS key, CASE WHEN lost THEN '97' ELSE CAST(y % 100 AS VARCHAR) END AS yy FROM w JOIN st USING (d) WHERE style = 'alpha-key'),
+    ar AS (SELECT d, number, left(noun, 3) AS key, y, lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS yy FROM w JOIN st USING (d) WHERE style = 'alpha-key'),
+    am AS (SELECT ac.d, ac.key, lpad(ac.yy, 2, '0') AS yy, number FROM ac LEFT JOIN ar ON ar.d = ac.d AND ar.key = ac.key AND ar.yy = lpad(ac.yy, 2, '0')),
+    ak AS (SELECT d, key || yy AS name, count(DISTINCT number) AS n FROM am GROUP BY d, key, yy),
+    al AS (SELECT d, count(*) AS n_keys, list(name ORDER BY name) FILTER (WHERE n = 0) AS undefined, list(name ORDER BY name) FILTER (WHERE n > 1) AS dup FROM ak GROUP BY 1),
+    au AS (SELECT d, count(*) AS der, count(*) FILTER (WHERE c) AS nc, list(number ORDER BY number) FILTER (WHERE NOT c) AS unc
+           FROM (SELECT d, number, (d, number) IN (SELECT (d, number) FROM am WHERE number IS NOT NULL) AS c FROM (SELECT DISTINCT d, number FROM ar)) GROUP BY 1),
+    an AS (SELECT d, n_keys < 3 OR der < greatest(3, 0.5 * total) OR coalesce(len(undefined), 0) > 0.5 * n_keys AS abstains, undefined, dup, CASE WHEN nc >= 0.5 * der THEN unc END AS unc FROM al JOIN au USING (d) JOIN k USING (d)),
+    f AS (SELECT d, style, coalesce(n.abstains, an.abstains, true) AS abstains, coalesce(CAST(n.undefined AS VARCHAR[]), an.undefined) AS undefined, errors AS range_errors,
+                 coalesce(CAST(n.dup AS VARCHAR[]), an.dup) AS duplicate, CAST(gap AS VARCHAR[]) AS gap, CAST(coalesce(uncited, unc) AS VARCHAR[]) AS uncited, CAST(late AS VARCHAR[]) AS out_of_order
+          FROM st LEFT JOIN n USING (d) LEFT JOIN an USING (d))
+    SELECT d, style, abstains, {", ".join(f"CASE WHEN abstains THEN '' ELSE coalesce(array_to_string({c}, ','), '') END AS {c}" for c in ("undefined", "range_errors", "duplicate", "gap", "uncited", "out_of_order"))} FROM f"""
+)
+def text_citation_audit(spark, sf_dir):
+    docs, refs = _citing(spark, sf_dir)
+    found = markers.audit(docs, refs, "d", "text", "number", "authors", "year")
+    lists = ("undefined", "range_errors", "duplicate", "gap", "uncited", "out_of_order")
+    return found.select("d", "style", "abstains", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+@register(
+    f"""
+    WITH {_CITING},
+    m AS (SELECT w.d, q AS number FROM w JOIN st USING (d) WHERE style = 'bracket' AND NOT bad AND (d, q) IN (SELECT (d, number) FROM w)
+          UNION ALL
+          SELECT c.d, r.number FROM (SELECT w.d, left(noun, 3) AS key, y % 100 AS yy FROM w JOIN st USING (d) WHERE style = 'alpha-key' AND NOT lost) c
+          JOIN (SELECT d, left(noun, 3) AS key, y % 100 AS yy, min(number) AS number FROM w GROUP BY 1, 2, 3 HAVING count(DISTINCT number) = 1) r USING (d, key, yy)
+          UNION ALL
+          SELECT c.d, r.number FROM (SELECT w.d, noun, y FROM w JOIN st USING (d) WHERE style = 'author-year') c
+          JOIN (SELECT d, noun, y, min(number) AS number FROM w GROUP BY 1, 2, 3 HAVING count(*) = 1) r USING (d, noun, y))
+    SELECT d, number, count(*) AS times FROM m GROUP BY 1, 2"""
+)
+def marker_references(spark, sf_dir):
+    docs, refs = _citing(spark, sf_dir)
+    found = markers.resolved(docs, refs, "d", "text", "number", "authors", "year")
+    return found.groupBy("d", "number").agg(F.count("*").alias("times"))
+
+
+@register(
+    f"""
+    WITH {_CITING}
+    SELECT d, CASE WHEN bad THEN '[' || (q + 2) || '–' || q || ']' ELSE '[' || q || ']' END AS marker,
+           CASE WHEN bad THEN '[' || (q + 2 + CAST(q + 2 >= 3 AS INT)) || '–' || (q + CAST(q >= 3 AS INT)) || ']' ELSE '[' || (q + 1) || ']' END AS new_marker, count(*) AS times
+    FROM w JOIN st USING (d) WHERE style = 'bracket' AND (q >= 3 OR bad) GROUP BY 1, 2, 3"""
+)
+def renumbered_markers(spark, sf_dir):
+    """What a reference inserted as the third changes in the texts."""
+    docs, refs = _citing(spark, sf_dir)
+    return markers.renumbered(docs.withColumn("third", F.lit(3)), refs, "d", "text", "number", "third")
+
+
 @register(
     f"""
     WITH {_LINES}, f AS (SELECT l_orderkey, l_partkey, min(seq) AS first FROM l GROUP BY 1, 2),
