@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelake.functions import titles, verdicts
-from citelake.operators import results
+from citelake.operators import results, wordbreaks
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -244,6 +244,30 @@ def cleaned_titles(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", titles.clean_title(t).alias("clean"), titles.without_meeting(t).alias("no_meeting"))
 
 
+@register(
+    """
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN replace(p_name, ' ', '-') || ' ' || lower(p_type) ELSE p_name || ' ' || lower(p_type) END AS title FROM part"""
+)
+def repaired_titles(spark, sf_dir):
+    """Names of parts run together, broken at a hyphen or a blank, or as compounds at a line's
+    end, repaired by the words of all names and types."""
+    parts = table(spark, sf_dir, "part")
+    head, tail = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    kind = F.lower("p_type")
+    half = F.floor(F.length(kind) / 2).cast("int")
+    start, end = F.left(kind, half), F.substring(kind, half + 1, F.length(kind))
+    broken = _case(
+        F.col("p_partkey") % 5,
+        F.concat(head, tail, kind),
+        F.concat(F.col("p_name"), F.lit(" "), start, F.lit("-  "), end),
+        F.concat(F.col("p_name"), F.lit(" "), start, F.lit(" "), end),
+        F.concat(head, F.lit("- "), tail, F.lit(" "), kind),
+        F.concat_ws(" ", "p_name", kind),
+    )
+    known = wordbreaks.vocabulary(parts.select(F.concat_ws(" ", "p_name", "p_type").alias("t")), "t")
+    return wordbreaks.repaired_titles(parts.select("p_partkey", broken.alias("title")), "p_partkey", "title", known)
+
+
 @register(
     """
     WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS n FROM part)
