@@ -105,6 +105,6 @@ def test_distinct_pairing_is_the_greedy_one(spark):
         return True
 
     df = spark.createDataFrame(rows, "one array<string>, other array<string>")
-    paired = names.distinct_pairing(F.transform("one", text.name_parts), F.transform("other", text.name_parts))
+    paired = names.distinct_pairing(names.agreement(F.transform("one", text.name_parts), F.transform("other", text.name_parts)))
     got = df.select("one", "other", paired.alias("p")).collect()
     assert [r["p"] for r in got] == [greedy(r["one"], r["other"]) for r in got]
