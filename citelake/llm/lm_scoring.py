@@ -9,12 +9,17 @@ weights. The scores then use these weights with the counts of all training docum
 Counts cover the whole corpus and are never cut. How they move: each task packs its
 documents into blocks of a bounded number of tokens and sends every distinct word and
 bigram of a block once, as a 64-bit hash with its count, to the hash's bucket. A bucket
-sums the counts and sends each block the totals it asked for. A frequent word or pair so
-costs one entry per block, however hot it is. The blocks and the totals are written to the
-shared folder; the learning step reads the blocks of deleted documents alone.
+sums the counts and sends each block the totals it asked for. Words and pairs that are in
+an eighth of about ``_SAMPLE_BLOCKS`` sampled blocks go another way, for a bucket would get an
+entry of theirs from every block of the corpus: each task sums them over all its blocks,
+their totals are one small aggregation, and go to every task. The sample bounds their number
+(at most eight times the keys of a block) and changes what is sent, never a count. The blocks
+and the totals are written to the shared folder; the learning step reads the blocks of
+deleted documents alone.
 
 Memory: a task holds one block or one bucket at a time, about 100 bytes for each of its
-``block_tokens`` tokens or ``_BUCKET_KEYS`` keys, besides one Arrow batch. Keys travel as
+``block_tokens`` tokens or ``_BUCKET_KEYS`` keys, besides one Arrow batch; a key outside the
+sample's adds entries for about an eighth of the blocks at most. Keys travel as
 differences, counts in as many bytes as the largest one takes. What is sent is linear in
 the corpus: no row is empty, so there are never more rows than keys. Rows get short where
 blocks and buckets are both many; larger blocks, for executors that can hold them, keep
@@ -30,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelake.llm.common import materialize, tidy
+from citelake.llm.common import discard, materialize, tidy
 from citelake.llm.textarrays import mix, slices, words
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
 _BLOCK_TOKENS = 250_000
 _BUCKET_KEYS = 1_000_000
+_SAMPLE_BLOCKS, _HOT_SHARE = 64, 8
 _TOTALS = "block long, part int, bucket int, kind int, n int, kept binary, every binary, types long"
 _SENT = "bucket int, kind int, block long, part int, keys binary, counts binary"
 _EVENTS = "cvw long, cv long, cw long, n long"
@@ -151,14 +157,84 @@ class _Block:
         return out
 
 
-def _send(batches, buckets: int):
-    """Every distinct key of a block with its count, cut by ranges of keys."""
+class Hot:
+    """Sorted keys of words and of bigrams that many blocks have, with their totals."""
+
+    def __init__(self, keys: list[np.ndarray]):
+        self.keys, self.kept, self.every = keys, None, None
+
+    def has(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are hot, and their places among the hot ones."""
+        own = self.keys[kind]
+        at = np.searchsorted(own, keys)
+        found = np.zeros(len(keys), bool)
+        if len(own):
+            found = own[np.minimum(at, len(own) - 1)] == keys
+        return found, at[found]
+
+
+def _keys_of(batches):
+    """Every distinct key of a block."""
+    for batch in batches:
+        for row in range(len(batch)):
+            block = _Block(batch, row)
+            for kind, keys in ((0, block.words), (1, block.pair_keys)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64))], names=["kind", "key"])
+
+
+def find_hot(blocks: DataFrame, n_blocks: int) -> Hot:
+    """Keys in at least an eighth, and two, of about ``_SAMPLE_BLOCKS`` blocks."""
+    sample = blocks.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks))) < _SAMPLE_BLOCKS)
+    least = max(2, min(n_blocks, _SAMPLE_BLOCKS) // _HOT_SHARE)
+    many = sample.mapInArrow(tidy(_keys_of), "kind int, key long").groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = many.select("kind", "key").toArrow()
+    kinds, keys = found.column("kind").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+    return Hot([np.sort(keys[kinds == k]) for k in (0, 1)])
+
+
+def _hot_counts(batches, hot: Hot):
+    """A task's counts of the hot keys."""
+    sums = [np.zeros((2, len(k)), np.int64) for k in hot.keys]
+    for batch in batches:
+        for row in range(len(batch)):
+            block = _Block(batch, row)
+            word_n = np.bincount(block.tokens, minlength=len(block.words))
+            for kind, keys, counts in ((0, block.words, word_n), (1, block.pair_keys, block.pair_n[block.order])):
+                found, at = hot.has(kind, keys)
+                sums[kind][1, at] += counts[found]
+                if block.part == KEPT:
+                    sums[kind][0, at] += counts[found]
+    for kind, (kept, every) in enumerate(sums):
+        some = np.flatnonzero(every)
+        columns = np.full(len(some), kind), hot.keys[kind][some].view(np.int64), kept[some], every[some]
+        kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "key", "kept", "every"])
+
+
+def count_hot(blocks: DataFrame, hot: Hot) -> Hot:
+    """``hot`` with its totals: sums of the tasks' sums."""
+    counted = blocks.where(F.col("part") != HELD_OUT).mapInArrow(tidy(lambda batches: _hot_counts(batches, hot)), "kind int, key long, kept long, every long")
+    sums = counted.groupBy("kind", "key").agg(F.sum("kept").alias("kept"), F.sum("every").alias("every")).toArrow()
+    kinds, keys = sums.column("kind").to_numpy(), sums.column("key").to_numpy().view(np.uint64)
+    out = Hot(hot.keys)
+    out.kept, out.every = ([np.zeros(len(k), np.int64) for k in hot.keys] for _ in range(2))
+    for kind in (0, 1):
+        mine = kinds == kind
+        _, at = hot.has(kind, keys[mine])
+        out.kept[kind][at], out.every[kind][at] = sums.column("kept").to_numpy()[mine], sums.column("every").to_numpy()[mine]
+    return out
+
+
+def _send(batches, buckets: int, hot: Hot):
+    """Every distinct key of a block that isn't hot with its count, cut by ranges of keys."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
     for batch in batches:
         for row in range(len(batch)):
             block = _Block(batch, row)
             word_n = np.bincount(block.tokens, minlength=len(block.words))
             for kind, keys, counts in ((0, block.words, word_n), (1, block.pair_keys, block.pair_n[block.order])):
+                cold = ~hot.has(kind, keys)[0]
+                keys, counts = keys[cold], counts[cold]
                 cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(cuts[1:] > cuts[:-1])
                 runs = list(zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True))
@@ -207,25 +283,32 @@ def _sum_up(table: pa.Table) -> pa.Table:
     )
 
 
-def _totals(block: _Block, table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Totals of the block's words and of its bigrams, filled in bucket by bucket."""
-    kinds, buckets, lens = (table.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+def _totals(block: _Block, table: pa.Table, column: str, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the block's words and of its bigrams: those of hot keys, and the others filled
+    in bucket by bucket."""
     out = np.zeros(len(block.words), np.int64), np.zeros(len(block.pair_keys), np.int64)
-    filled = [0, 0]
+    cold, filled = [], [0, 0]
+    for kind, keys in enumerate((block.words, block.pair_keys)):
+        found, at = hot.has(kind, keys)
+        out[kind][found] = getattr(hot, column)[kind][at]
+        cold.append(np.flatnonzero(~found))
+    if not len(table):  # all of its keys are hot
+        return out[0], block.in_pair_order(out[1])
+    kinds, buckets, lens = (table.column(c).to_numpy() for c in ("kind", "bucket", "n"))
     cells = _cells(table, column)
     for k in np.lexsort((buckets, kinds)).tolist():
         kind, n = kinds[k], int(lens[k])
-        out[kind][filled[kind] : filled[kind] + n] = _unpack(cells[k], n)
+        out[kind][cold[kind][filled[kind] : filled[kind] + n]] = _unpack(cells[k], n)
         filled[kind] += n
     return out[0], block.in_pair_order(out[1])
 
 
-def _events(left: pa.Table, right: pa.Table) -> pa.Table:
+def _events(left: pa.Table, right: pa.Table, hot: Hot) -> pa.Table:
     """The deleted bigrams of a block with their counts among the kept documents."""
     if not len(left):
         return pa.table({c: pa.array([], pa.int64()) for c in ("cvw", "cv", "cw", "n")})
     block = _Block(left)
-    one, two = _totals(block, right, "kept")
+    one, two = _totals(block, right, "kept", hot)
     t = pa.table({"cvw": two, "cv": one[block.v], "cw": one[block.w], "n": block.pair_n.astype(np.int64)})
     return t.group_by(["cvw", "cv", "cw"]).aggregate([("n", "sum")]).rename_columns(["cvw", "cv", "cw", "n"])
 
@@ -302,19 +385,23 @@ def score(
 
     blocks = materialize(rows.mapInArrow(tidy(lambda batches: _encode(batches, block_tokens)), blocks_schema), "blocks")
     # the more tokens, the more buckets, so that a bucket's size is bounded too
-    sizes = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("blocks")).collect()
+    sizes = {r["part"]: r["n"] for r in parts}
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, sum(sizes.values()) // bucket_keys, 8)
-    sent = blocks.mapInArrow(tidy(lambda batches: _send(batches, buckets)), _SENT)
+    hot = count_hot(blocks, find_hot(blocks, sum(r["blocks"] for r in parts)))
+    sent = blocks.mapInArrow(tidy(lambda batches: _send(batches, buckets, hot)), _SENT)
     totals = materialize(sent.groupBy("bucket", "kind").applyInArrow(_sum_up, _TOTALS), "totals")
-    types = totals.where("kind = 0").agg(F.sum("types")).first()[0] or 0
+    types = (totals.where("kind = 0").agg(F.sum("types")).first()[0] or 0) + int((hot.every[0] > 0).sum())
     kept = sizes.get(KEPT, 0)
     n = kept + sizes.get(DELETED, 0)
 
     deleted = blocks.where(F.col("part") == DELETED).groupBy("block")
-    events = deleted.cogroup(totals.where(F.col("part") == DELETED).groupBy("block")).applyInArrow(_events, _EVENTS)
+    events = deleted.cogroup(totals.where(F.col("part") == DELETED).groupBy("block")).applyInArrow(lambda left, right: _events(left, right, hot), _EVENTS)
     events = events.groupBy("cvw", "cv", "cw").agg(F.sum("n").alias("n"))
-    weights = np.array(learn_weights(materialize(events, "events"), kept, types))
+    events = materialize(events, "events")
+    weights = np.array(learn_weights(events, kept, types))
+    discard(events)
 
     out_schema = T.StructType(
         [
@@ -330,7 +417,7 @@ def score(
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left)
-        one, two = _totals(block, right, "every")
+        one, two = _totals(block, right, "every", hot)
         cv = one[block.v]
         context = np.frexp(cv.astype(float))[1]  # 0 for a count of 0
         p = weights[context, 0] * two / np.maximum(cv, 1)

@@ -342,7 +342,7 @@ def test_what_is_sent_grows_no_faster_than_the_keys():
             columns = {"block": [b], "part": [0], "uniq": [words_.tobytes()], "tokens": [lm_scoring._pack(at)], "n_tokens": [len(at)]}
             block = lm_scoring._Block(pa.table(columns))
             sent += len(block.words) + len(block.pair_keys)
-            rows += sum(len(x) for x in lm_scoring._send([pa.record_batch(columns)], buckets=1 << 20))
+            rows += sum(len(x) for x in lm_scoring._send([pa.record_batch(columns)], 1 << 20, lm_scoring.Hot([np.zeros(0, np.uint64)] * 2)))
         assert rows <= sent
 
 
