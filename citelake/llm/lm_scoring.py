@@ -212,8 +212,9 @@ def _hot_counts(batches, hot: Hot):
 
 
 def count_hot(blocks: DataFrame, hot: Hot) -> Hot:
-    """``hot`` with its totals: sums of the tasks' sums."""
-    counted = blocks.where(F.col("part") != HELD_OUT).mapInArrow(tidy(lambda batches: _hot_counts(batches, hot)), "kind int, key long, kept long, every long")
+    """``hot`` with its totals: sums of the tasks' sums, of no more tasks than run at once."""
+    together = blocks.where(F.col("part") != HELD_OUT).coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+    counted = together.mapInArrow(tidy(lambda batches: _hot_counts(batches, hot)), "kind int, key long, kept long, every long")
     sums = counted.groupBy("kind", "key").agg(F.sum("kept").alias("kept"), F.sum("every").alias("every")).toArrow()
     kinds, keys = sums.column("kind").to_numpy(), sums.column("key").to_numpy().view(np.uint64)
     out = Hot(hot.keys)
