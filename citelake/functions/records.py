@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: results of older logic than this are checked again.
 LOGIC_VERSION = 4
@@ -35,10 +38,19 @@ def ids_map(kinds: tuple[str, ...] = ID_KINDS) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def without_nulls(value: Column) -> Column:
-    """A map without null values; its array values without null elements."""
-    kept = F.map_filter(value, lambda _, v: v.isNotNull())
-    return F.transform_values(kept, lambda _, v: F.array_compact(v))
+def without_nulls(value: Column, kind: T.DataType | str) -> Column:
+    """A value of type ``kind`` without null entries of maps and null elements of arrays, at
+    every depth; a struct keeps its fields, with what they hold cleaned."""
+    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(value, lambda _, v: v.isNotNull())
+        return F.transform_values(kept, lambda _, v: without_nulls(v, kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.array_compact(value), lambda v: without_nulls(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.when(value.isNotNull(), fields)
+    return value
 
 
 def current(version: Column, least: int = LOGIC_VERSION) -> Column:
@@ -72,13 +84,29 @@ def best_concepts(concepts: Column, least: float = 0.3, most: int = 3) -> Column
     return F.slice(F.transform(ranked, lambda c: c["name"]), 1, most)
 
 
+def _compositions() -> dict[str, str]:
+    """A letter and its mark, as two code points and as one, of the Latin blocks."""
+    codes = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    return {d: chr(c) for c in codes if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and unicodedata.combining(d[1])}
+
+
+_COMPOSED = _compositions()
+
+
+def _each_replaced(text: Column, pattern: str, by) -> Column:
+    """Every distinct match of ``pattern`` replaced by ``by(match)``, where that isn't null."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.aggregate(found, text, lambda t, m: F.replace(t, m, F.coalesce(by(m), m)))
+
+
 def clean_unicode(text: Column) -> Column:
-    """Composed form (NFC), UTF-8 that was read as Latin-1 set right, without control
-    characters other than tab and line ends."""
-    # a lead byte and its continuation bytes, each as one Latin-1 character
-    broken = r"[Â-ß][\u0080-¿]|[à-ï][\u0080-¿]{2}"
-    latin = F.encode(text, "ISO-8859-1")
-    narrow = ~text.rlike(r"[^\u0000-ÿ]")
-    fixed = F.when(narrow & text.rlike(broken), F.try_validate_utf8(latin.cast("string"))).otherwise(F.lit(None))
-    out = F.coalesce(fixed, text)
+    """Composed form of Latin letters with one mark, runs of UTF-8 that were read as Latin-1 set
+    right, beside whatever else the text holds, without control characters other than tab and
+    line ends."""
+    # lead bytes and their continuation bytes, each as one Latin-1 character
+    broken = r"(?:[Â-ß][\u0080-¿]|[à-ï][\u0080-¿]{2})+"
+    fixed = _each_replaced(text, broken, lambda m: F.try_validate_utf8(F.encode(m, "ISO-8859-1").cast("string")))
+    table = F.create_map(*[F.lit(x) for pair in _COMPOSED.items() for x in pair])
+    composed = _each_replaced(fixed, r"\p{L}[\u0300-\u036f]", lambda m: F.try_element_at(table, m))
+    out = F.when(fixed.rlike(r"[\u0300-\u036f]"), composed).otherwise(fixed)
     return F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")

@@ -121,9 +121,11 @@ def dois_agree(a: Column, b: Column) -> Column:
 
 
 def arxiv_id(text: Column) -> Column:
-    """An arXiv identifier of either style, without its version."""
-    new = F.regexp_extract(text, r"([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?", 1)
-    old = F.regexp_extract(F.lower(text), r"([a-z-]+(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?", 1)
+    """An arXiv identifier of either style, without its version. A new one counts where it
+    stands alone or the text speaks of arXiv: other numbers look the same."""
+    alone = text.rlike(r"^\s*[0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?\s*$") | F.contains(F.lower(text), F.lit("arxiv"))
+    new = F.when(alone, F.regexp_extract(text, r"(?<![0-9])([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?![0-9])", 1))
+    old = F.regexp_extract(F.lower(text), r"(?<![a-z-])([a-z-]+(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?(?![0-9])", 1)
     return F.coalesce(F.nullif(new, F.lit("")), F.nullif(old, F.lit("")))
 
 

@@ -60,7 +60,7 @@ def compacted_records(spark, sf_dir):
     value = F.create_map(
         F.lit("a"), F.when(key % 2 == 0, F.array(one, gone)), F.lit("b"), F.when(key % 5 != 0, F.array(one, gone, one)), F.lit("c"), F.array(F.when(key % 3 > 0, one))
     )
-    sizes = F.transform(F.map_entries(records.without_nulls(value)), lambda e: F.concat_ws(":", e["key"], F.size(e["value"]).cast("string")))
+    sizes = F.transform(F.map_entries(records.without_nulls(value, "map<string,array<int>>")), lambda e: F.concat_ws(":", e["key"], F.size(e["value"]).cast("string")))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(sizes), ",").alias("kept"))
 
 
