@@ -90,13 +90,47 @@ def corroborated(rows: DataFrame, doc: str, at: str, score: str, high: float = 0
     return rows.withColumn("_near", near(F.lag) | near(F.lead)).where((F.col(score) >= high) & F.col("_near")).drop("_near")
 
 
-def merge_intervals(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Islands of intervals that overlap or touch: ``start``, ``end``, ``n``."""
+def _with_islands(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """Rows with ``_island``, a number for each run of intervals that overlap or touch."""
     w = Window.partitionBy(group).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
-    marked = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return marked.groupBy(group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    return rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w)).drop("_new")
+
+
+def merge_intervals(rows: DataFrame, group: str, start: str, end: str, own: str | None = None) -> DataFrame:
+    """Islands of intervals that overlap or touch: ``start``, ``end``, ``n``, and with ``own`` the
+    sorted ``ids`` of the intervals that each is made of."""
+    found = [F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")]
+    if own is not None:
+        found.append(F.sort_array(F.collect_list(own)).alias("ids"))
+    return _with_islands(rows, group, start, end).groupBy(group, "_island").agg(*found).drop("_island")
+
+
+def covered_segments(rows: DataFrame, group: str, start: str, end: str, own: str) -> DataFrame:
+    """``(group, start, end, ids)``: maximal segments between neighbouring endpoints and the
+    intervals over each (not none), sorted. A sweep over an island's endpoints carries the set
+    of open intervals; a row holds one island, not its group. ``own`` is unique in a group; an
+    interval of no length covers nothing."""
+    islands = _with_islands(rows.where(F.col(start) <= F.col(end)), group, start, end)
+    ends = F.array(F.struct(F.col(start).alias("at"), F.lit(True).alias("opens")), F.struct(F.col(end).alias("at"), F.lit(False).alias("opens")))
+    events = islands.select(group, "_island", F.col(own).alias("id"), F.explode(ends).alias("e")).select(group, "_island", "id", "e.*")
+
+    def ids(opens):
+        return F.collect_list(F.when(F.col("opens") == opens, F.col("id")))
+
+    points = events.groupBy(group, "_island", "at").agg(ids(True).alias("on"), ids(False).alias("off"))
+    swept = points.groupBy(group, "_island").agg(F.array_sort(F.collect_list(F.struct("at", "on", "off"))).alias("points"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = f"array<struct<{start}:{kinds[start]},{end}:{kinds[end]},ids:array<{kinds[own]}>>>"
+
+    def sweep(state, point):
+        segment = F.struct(state["at"].alias(start), point["at"].alias(end), F.sort_array(state["open"]).alias("ids"))
+        done = F.when(F.size(state["open"]) > 0, F.array_append(state["done"], segment)).otherwise(state["done"])
+        return F.struct(point["at"].alias("at"), F.array_except(F.concat(state["open"], point["on"]), point["off"]).alias("open"), done.alias("done"))
+
+    nothing = F.struct(F.lit(None).cast(kinds[start]).alias("at"), F.array().cast(f"array<{kinds[own]}>").alias("open"), F.array().cast(out).alias("done"))
+    return swept.select(group, F.inline(F.aggregate("points", nothing, sweep)["done"]))
 
 
 def interval_segments(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:

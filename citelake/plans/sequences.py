@@ -139,6 +139,40 @@ def merged_intervals(spark, sf_dir):
     return sequence.merge_intervals(_spans(spark, sf_dir), "l_suppkey", "s", "e")
 
 
+_NAMED_SPANS = """i AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, min(l_shipdate) AS s, max(l_shipdate + INTERVAL 1 DAY * CAST(l_quantity AS INT)) AS e FROM lineitem GROUP BY 1, 2)"""
+
+
+def _named_spans(spark, sf_dir):
+    days = F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", number).agg(F.min("l_shipdate").alias("s"), F.max(days).alias("e"))
+
+
+@register(
+    f"""
+    WITH {_NAMED_SPANS},
+    m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM i),
+    k AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e) AS g FROM m)
+    SELECT l_suppkey, min(s) AS s, max(e) AS e, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM k GROUP BY l_suppkey, g"""
+)
+def merged_interval_members(spark, sf_dir):
+    merged = sequence.merge_intervals(_named_spans(spark, sf_dir), "l_suppkey", "s", "e", "id")
+    return merged.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@register(
+    f"""
+    WITH {_NAMED_SPANS},
+    q AS (SELECT l_suppkey, s AS pt FROM i UNION SELECT l_suppkey, e FROM i),
+    r AS (SELECT l_suppkey, pt AS s, lead(pt) OVER (PARTITION BY l_suppkey ORDER BY pt) AS e FROM q)
+    SELECT r.l_suppkey, r.s, r.e, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
+    FROM r JOIN i ON i.l_suppkey = r.l_suppkey AND i.s <= r.s AND i.e >= r.e GROUP BY 1, 2, 3"""
+)
+def covered_segments(spark, sf_dir):
+    found = sequence.covered_segments(_named_spans(spark, sf_dir), "l_suppkey", "s", "e", "id")
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
 @register(
     f"""
     WITH {_SPANS},
