@@ -5,8 +5,9 @@ something. Each known layout (messages, conversations, prompt and response, inst
 output, ...) declares its paths and how they become canonical turns ``(role, text)``; the
 fingerprint selects the declaration, row by row, so one table may mix layouts. A record whose
 fingerprint is no layout's own takes the layout with the most paths of those it holds whole,
-else the first one that it holds any path of, so that no known field is lost for others
-beside it.
+else the first one that it holds any path of, else the first whose array has elements. Known
+fields beside the layout taken are not part of the chat. A layout of single fields gives no
+turn for those that a record lacks.
 
 Template: every turn is ``<s>[INST]role[/INST]text</s>``. Control strings inside roles and
 texts are escaped: ``\\`` doubles, and a ``\\`` goes behind the first character of a control
@@ -118,9 +119,12 @@ def _turns(layout: Layout, there: set[str]) -> Column:
             return _field(m, field).cast("string") if f"{array}[].{field}" in there else F.lit(None).cast("string")
 
         return F.transform(_column(array), lambda m: turn(of(m, role), of(m, text)))
-    return F.array(
-        *[turn(F.lit(t[0]), F.concat_ws("\n\n", *[_column(p).cast("string") for p in t[1:] if p in there])) for t in layout.fixed]
-    )
+    turns = []
+    for role, *paths in layout.fixed:
+        parts = [_column(p).cast("string") for p in paths if p in there]
+        if parts:
+            turns.append(F.when(F.coalesce(*parts).isNotNull(), turn(F.lit(role), F.concat_ws("\n\n", *parts))))
+    return F.array_compact(F.array(*turns))
 
 
 def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
@@ -133,6 +137,7 @@ def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tupl
     rules = [(x, mark == _hash(x.paths)) for x in whole]
     rules += [(x, functools.reduce(lambda a, b: a & b, (held[p] for p in x.paths))) for x in whole]
     rules += [(x, functools.reduce(lambda a, b: a | b, (held[p] for p in x.paths if p in there))) for x in some]
+    rules += [(x, F.coalesce(F.size(_column(x.each[0])) > 0, F.lit(False))) for x in some if x.each]
     name = F.lit(None).cast("string")
     for layout, match in reversed(rules):
         name = F.when(match, layout.name).otherwise(name)
@@ -157,8 +162,8 @@ def unescape(text: Column) -> Column:
 def format_chat(records: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """One row ``(id_col, layout, n_turns, formatted, loss_mask)`` per record.
 
-    Null roles and texts are empty ones. Records without a value in any known path format to
-    the empty string. Repeated rows and null ids are records of their own; columns that no
+    Null roles and texts of listed turns are empty ones. Records without a listed turn or a
+    value in any known path format to the empty string. Repeated rows and null ids are records of their own; columns that no
     layout knows are ignored, and so are known ones beside a layout that is whole. An empty
     table gives an empty one.
     """
