@@ -579,7 +579,7 @@ def test_layouts_mix_in_one_table(spark):
         3: ("instruction-input", [("user", "i\n\nin"), ("assistant", "o")]),
         4: ("messages", [("user", "u"), ("assistant", "")]),
         5: ("conversations", [("user", "u"), ("assistant", "g")]),
-        6: ("prompt-response", [("user", "p"), ("assistant", "")]),
+        6: ("prompt-response", [("user", "p")]),  # no turn is made up for the response it lacks
         7: (None, []),
     }
 
@@ -603,7 +603,7 @@ def test_deep_paths_and_known_columns_beside_a_layout(spark):
     assert got == {
         1: ("export", [("user", "q"), ("assistant", "a")]),
         2: ("messages", [("user", "u"), ("assistant", "a")]),
-        3: ("prompt-response", [("user", "only"), ("assistant", "")]),
+        3: ("prompt-response", [("user", "only")]),
         4: ("messages", [("user", "")]),
         5: (None, []),
     }
