@@ -1,16 +1,16 @@
 """Quality rules: per-text counts and cross-document line frequency.
 
-A document fails the base rules when it is short or mostly repeats itself. Of the others,
-lines are normalised (trimmed, white space runs as one blank, lower case, digits as 0) and
-hashed with their host, and the distinct documents that hold a line are counted. A line is
-above the limit when more than ``min_docs`` documents of the host hold it, however many the
-host has. Documents of equal text count once. Lines above the limit are removed, and a
-document is rejected as depleted when fewer than ``min_left`` of its words are left. With
-``keep_first`` a line stays in the first of its documents (the smallest id of the host), so
-one copy of whatever is repeated survives.
+A document fails the base rules when it is short or mostly repeats itself. Lines of all
+documents are normalised (trimmed, white space runs as one blank, lower case, digits as 0)
+and hashed with their host, and the distinct documents that hold a line are counted. A line
+is above the limit when more than ``min_docs`` documents of the host hold it, however many
+the host has. Exact copies are documents too; with ``by_text`` documents of equal text count
+once. Lines above the limit are removed, and a document is rejected as depleted when fewer
+than ``min_left`` of its words are left. With ``keep_first`` a line stays in the first of its
+documents (the smallest id of the host), so one copy of whatever is repeated survives.
 
 All of it is DataFrame expressions. Lines move as hashes and counts; ``keep_good`` moves the
-documents once, by their key, to where their removed lines are.
+documents once, by id and text hash, to where their removed lines are.
 """
 
 from __future__ import annotations
@@ -102,28 +102,30 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return rows.select("_id", "_text", "at", normal.alias("_l")).select("_id", "_text", "at", "_l.*")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = 20) -> DataFrame:
-    """``(line, first)``: lines above the limit and the smallest id that has them."""
-    held = lines.groupBy("line", "_text").agg(F.min("_id").alias("first"))
+def frequent_lines(lines: DataFrame, min_docs: int = 20, by_text: bool = False) -> DataFrame:
+    """``(line, first)``: lines above the limit and the smallest id that has them. Rows of
+    one id and text are one document; ``by_text`` counts distinct texts in place of those."""
+    document = ["_text"] if by_text else ["_id", "_text"]
+    held = lines.withColumn("first", F.col("_id")).groupBy("line", *document).agg(F.min("first").alias("first"))
     counts = held.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
     return counts.where(F.col("n_docs") > min_docs).select("line", "first")
 
 
-def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first, by_text) -> DataFrame:
     """``columns`` with the counts, verdicts and the places of the lines to remove."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
-        F.struct(*columns).alias("_row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_key"), _let_stats(text).alias("_s")
+        F.struct(*columns).alias("_row"), F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_hash"), _let_stats(text).alias("_s")
     )
     lines = materialize(_lines(docs, id_col, text_col, host_col), "lines")  # hashes; read twice
     # a line that a third of all documents have is dealt over many tasks
-    found = join_back(lines, frequent_lines(lines, min_docs), "line")
+    found = join_back(lines, frequent_lines(lines, min_docs, by_text), "line")
     if keep_first:
         found = found.where(~F.col("_id").eqNullSafe(F.col("first")))
     gone = (
-        found.select(F.xxhash64("_id", "_text").alias("_key"), "at", "n")
+        found.select("_id", "_text", "at", "n")
         .distinct()
-        .groupBy("_key")
+        .groupBy("_id", "_text")
         .agg(F.sum("n").alias("_n"), F.collect_list("at").alias("_at"))
     )
     gone = materialize(gone, "gone")
@@ -131,7 +133,8 @@ def _judged(docs: DataFrame, columns: list[str], id_col, text_col, host_col, min
     n, repeats = F.col("_s.n_words"), F.col("_s.n_repeat_words")
     failed = (n < min_words) | (100 * repeats > 50 * n)
     left = n - F.coalesce("_n", F.lit(0))
-    return base.join(gone, "_key", "left").select(
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    return base.join(gone, same, "left").select(
         "_row",
         "_s",
         "_at",
@@ -150,6 +153,7 @@ def verdicts(
     min_left: float = 0.2,
     min_words: int = 50,
     keep_first: bool = False,
+    by_text: bool = False,
 ) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``kept``, ``n_removed_words``.
 
@@ -157,7 +161,7 @@ def verdicts(
     told apart by (id, text): exactly repeated rows share one verdict, as do rows of a null
     id and equal text. Other columns are not read. Empty tables give empty ones.
     """
-    judged = _judged(docs, [id_col], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first)
+    judged = _judged(docs, [id_col], id_col, text_col, host_col, min_docs, min_left, min_words, keep_first, by_text)
     return judged.select(
         F.col("_row")[id_col].alias(id_col),
         "_s.*",
@@ -176,9 +180,10 @@ def keep_good(
     min_left: float = 0.2,
     min_words: int = 50,
     keep_first: bool = False,
+    by_text: bool = False,
 ) -> DataFrame:
     """The documents that are kept, all columns, their texts without the removed lines."""
-    judged = _judged(docs, docs.columns, id_col, text_col, host_col, min_docs, min_left, min_words, keep_first)
+    judged = _judged(docs, docs.columns, id_col, text_col, host_col, min_docs, min_left, min_words, keep_first, by_text)
     kept = judged.where("_kept").select("_row.*", F.col("_at").alias("_gone_at"))
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_gone_at", i))
     text = F.when(F.col("_gone_at").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))

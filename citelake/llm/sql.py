@@ -61,7 +61,7 @@ s AS (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words,
 x AS (SELECT rid, doc_id, host, t, unnest(l) AS raw FROM w),
 n AS (SELECT *, regexp_replace(lower(regexp_replace(trim(raw, {_BLANKS}), '{_WS}', ' ', 'g')), '[0-9]', '0', 'g') AS line
       FROM x),
-f AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT t) > 20),
+f AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT (doc_id, t)) > 20),
 o AS (SELECT rid, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS gone FROM n JOIN f USING (host, line) GROUP BY rid),
 v AS (SELECT s.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, o.gone FROM s LEFT JOIN o USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

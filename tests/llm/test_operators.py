@@ -179,16 +179,30 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     rows += [(200 + i, unique(60) + "\n" + boiler, "other") for i in range(10)]
     rows += [(300 + i, rows[0][1], "h") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = {r["doc_id"]: r for r in quality_rules.verdicts(df, keep_first=True).collect()}
+    out = {r["doc_id"]: r for r in quality_rules.verdicts(df, keep_first=True, by_text=True).collect()}
     assert not any(out[100 + i]["kept"] for i in range(10))
     assert all(out[i]["kept"] for i in [*range(40), *range(200, 210), *range(300, 330)])
     assert out[0]["n_removed_words"] == 0 and out[5]["n_removed_words"] == 60 and out[205]["n_removed_words"] == 0
-    every = {r["doc_id"]: r for r in quality_rules.verdicts(df).collect()}
+    every = {r["doc_id"]: r for r in quality_rules.verdicts(df, by_text=True).collect()}
     assert all(every[i]["n_removed_words"] == 60 for i in range(40)) and every[205]["n_removed_words"] == 0
-    kept = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(df, keep_first=True).collect()}
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(df, keep_first=True, by_text=True).collect()}
     assert kept[5] == rows[5][1].split("\n")[0] and kept[0] == rows[0][1] and 100 not in kept
 
 
+def test_copies_of_a_document_are_documents(spark):
+    """A line of 21 copies of one text is above the limit, one of 20 isn't; rows that repeat
+    an id and text are one document, rows of a null id and one text are, too."""
+    rng = random.Random(5)
+    unique = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    often, rare, single, nameless = (unique(60) for _ in range(4))
+    rows = [(i, often, "h") for i in range(21)] + [(100 + i, rare, "h") for i in range(20)]
+    rows += [(200, single, "h")] * 30 + [(None, nameless, "h")] * 30 + [(300, often, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality_rules.verdicts(df).collect()
+    assert len(out) == len(rows) and {r["doc_id"] for r in out if not r["kept"]} == set(range(21))
+    assert all(r["kept"] for r in quality_rules.verdicts(df, by_text=True).collect())
+
+
 def test_a_line_limit_does_not_grow_with_the_host(spark):
     rng = random.Random(4)
     unique = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
