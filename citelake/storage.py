@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that survives the loss of any executor. It stays until ``discard``, or until its
     application's folder is deleted."""
     path = new_path(df.sparkSession, name)
+    own = _OWNED.get()
+    if own is not None:
+        own.add(path)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.materialized_at = path
     return read
 
 
-_WRITTEN: list[str] = []
+#: The tables of the step of ``only`` that is at work in this thread.
+_OWNED: ContextVar[set[str] | None] = ContextVar("tables", default=None)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    _WRITTEN.remove(path)
+    own = _OWNED.get()
+    if own is not None:
+        own.discard(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -58,17 +65,21 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.materialized_at)
 
 
-def written() -> frozenset[str]:
-    """The tables of ``materialize`` that are there."""
-    return frozenset(_WRITTEN)
-
-
-def only(df: DataFrame, name: str, before: frozenset[str]) -> DataFrame:
-    """``materialize``, and delete all other tables that are not among ``before``, that is,
-    those that the work on ``df`` has written."""
-    kept = materialize(df, name)
-    for path in set(_WRITTEN) - before - {kept.materialized_at}:
-        _delete(df.sparkSession, path)
+def only(spark: SparkSession, step: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` what ``step`` returns and delete all other tables that ``step`` itself
+    has written, also where it fails. Tables that other work writes meanwhile stay."""
+    own: set[str] = set()
+    before = _OWNED.set(own)
+    kept = None
+    try:
+        kept = materialize(step(), name)
+    finally:
+        _OWNED.reset(before)
+        for path in own - {kept.materialized_at if kept is not None else None}:
+            _delete(spark, path)
+    outer = _OWNED.get()
+    if outer is not None:
+        outer.add(kept.materialized_at)
     return kept
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake.llm import jaccard_join, packing, quality_rules, secret_scan
 from citelake.llm.common import discard
-from citelake.storage import only, ship_package, written
+from citelake.storage import only, ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; lines above the limit leave the others, but stay in
     their first document, so that one copy of a group is there for the next stage. A text
     isn't bad for being short: those without any word go, and packing takes the others."""
-    kept = quality_rules.keep_good(docs.select(*COLUMNS), min_words=1, keep_first=True)
+    kept = quality_rules.keep_good(docs.select(*COLUMNS), min_words=1, keep_first=True, by_text=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -57,8 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last = None
     for name, stage in STAGES[:-1]:
-        before = written()
-        docs = only(stage(spark, docs, sf_dir), name, before)
+        docs = only(spark, functools.partial(stage, spark, docs, sf_dir), name)
         if last is not None:
             discard(last)
         last = docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -23,12 +24,35 @@ def test_discarded_tables_are_gone(spark):
 
 
 def test_only_the_result_of_a_step_stays(spark):
-    before_table = storage.materialize(spark.range(2), "before")
-    before = storage.written()
-    inner = storage.materialize(spark.range(3), "inner")
-    out = storage.only(inner.where("id > 0"), "out", before)
-    assert out.count() == 2 and _files(before_table) and not _files(inner)
-    storage.discard(out, before_table)
+    before = storage.materialize(spark.range(2), "before")
+    written = []
+
+    def inner():
+        written.append(storage.materialize(spark.range(3), "inner"))
+        return written[-1].where("id > 0")
+
+    def step():
+        found = storage.only(spark, inner, "found")
+        written.append(found)
+        with ThreadPoolExecutor(1) as others:  # work of another thread of the driver
+            written.append(others.submit(storage.materialize, spark.range(4), "other").result())
+        return found.where("id > 1")
+
+    out = storage.only(spark, step, "out")
+    assert out.count() == 1 and [bool(_files(t)) for t in (before, out, *written)] == [True, True, False, False, True]
+    storage.discard(before, out, written[-1])
+
+
+def test_a_step_that_fails_leaves_nothing(spark):
+    written = []
+
+    def step():
+        written.append(storage.materialize(spark.range(3), "inner"))
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        storage.only(spark, step, "out")
+    assert not _files(written[0])
 
 
 def test_a_cluster_needs_a_shared_folder():
