@@ -1,11 +1,11 @@
-"""Payloads of several sources on the driver's tables."""
+"""Payloads of several sources, and issues under a style, on the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citelake.functions import enrichment
+from citelake.functions import enrichment, styles
 from citelake.plans.tables import table
 from citelake.registry import register
 
@@ -103,3 +103,33 @@ def backfilled_records(spark, sf_dir):
     found = lines.select(enrichment.enrichment(other).alias("other"))
     out = enrichment.backfill(rows, found, "e", "other")
     return out.select("p_partkey", F.col("e.cited_by_count").alias("cited_by"), F.col("e.abstract").alias("abstract"))
+
+
+@register(
+    """
+    WITH o AS (SELECT l_orderkey, CAST(count(*) AS INT) AS n, min(l_linenumber) AS one FROM lineitem GROUP BY 1),
+    s AS (SELECT l_orderkey, n, ['mla', 'chicago', 'ieee', 'bibtex'][l_orderkey % 4 + 1] AS style FROM o)
+    SELECT l_orderkey, style,
+           CASE WHEN (style = 'mla' AND n >= 3) OR (style = 'chicago' AND n >= 4) OR (style = 'ieee' AND n >= 7) THEN '' ELSE 'author_count,' END
+           || CASE WHEN n % 2 = 0 THEN 'year,' ELSE '' END || 'pages' AS left_over FROM s"""
+)
+def issues_left_by_style(spark, sf_dir):
+    """An order's lines as the authors of a reference that names one of them."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    style = F.get(F.array(*map(F.lit, ("mla", "chicago", "ieee", "bibtex"))), (F.col("l_orderkey") % 4).cast("int"))
+    none, key = F.lit(None), F.col("l_orderkey").cast("string")
+
+    def issue(kind, cited, actual, n_cited=none, n_actual=none):
+        return F.struct(
+            F.lit(kind).alias("kind"), cited.cast("string").alias("cited"), actual.cast("string").alias("actual"),
+            n_cited.cast("int").alias("n_cited"), n_actual.cast("int").alias("n_actual"),
+        )
+
+    issues = F.array(
+        issue("author_count", none, none, F.lit(1), F.col("n")),
+        issue("year", F.lit("(2019)"), 2019 + (F.col("n") + 1) % 2),
+        issue("title", F.concat(F.lit("Déjà vu: "), key), F.concat(F.lit("Deja Vu - "), key)),
+        issue("pages", F.concat(F.lit("pp. "), key, F.lit("--"), key), F.concat(key, F.lit("-"), key, F.lit("1"))),
+    )
+    left = F.transform(styles.issues_for_style(issues, style), lambda i: i["kind"])
+    return orders.select("l_orderkey", style.alias("style"), F.array_join(left, ",").alias("left_over"))
