@@ -339,8 +339,8 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     both = marks.union(rows).withColumn("other", other)
     both = both.select("lang", "source", "side", "block", "at", "p", "width", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
     parts = both.groupBy("lang", "block", "x", "y").applyInArrow(_distances, "lang string, a string, b string, value long")
-    # which of two sources comes first depends on their side alone, and so is the same in every block
-    sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    # rows of a block come in any order, so which of two sources of one side is first differs from block to block
+    sums = parts.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("value"))
     return sums.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("s"), "value").select("lang", "s.source", "s.item", "value")
 
 

@@ -57,6 +57,20 @@ def test_audit_is_that_of_plain_counts(docs, corpus):
     assert rows_of(divergence.audit(docs, least=5, top=7), *AUDIT) == plain_audit(corpus, 5, 7)
 
 
+def test_distances_add_up_over_blocks_whichever_source_comes_first(spark, monkeypatch):
+    plain, last = divergence._distances, divergence._SLOT_BLOCK
+
+    def turned(table):
+        # the second block gets its rows in reverse, as another order of its shuffle would
+        return plain(table.take(list(range(len(table)))[::-1]) if table.column("block")[0].as_py() else table)
+
+    monkeypatch.setattr(divergence, "_distances", turned)
+    counts = spark.createDataFrame([("xx", "s1", 0, 5), ("xx", "s2", last, 7)], "lang string, source string, slot long, p long")
+    groups = spark.createDataFrame([("xx", s, last + 1, 2, 1) for s in ("s1", "s2")], "lang string, source string, terms long, total long, zero long")
+    found = divergence._pairs(counts.coalesce(1), groups.coalesce(1)).collect()
+    assert sorted(map(tuple, found)) == [("xx", "s1", "s2", 10), ("xx", "s2", "s1", 10)]
+
+
 def test_audit_in_rounds_and_small_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(divergence, "_SHARD_TERMS", 40)
     monkeypatch.setattr(divergence, "_SLOT_BLOCK", 7)
