@@ -4,6 +4,9 @@ Pairs come from joins on a shared endpoint after edges are made distinct. A work
 large part of the corpus makes a square of pairs. Pair counts can be asked for a set of
 ``sources``: the joins then grow with the sources' edges. Without one every work is a source;
 a shared endpoint of many edges is dealt over blocks, so that no task has its whole square.
+
+What moves is not pairs but, for each edge of a source, the list of the works at its other
+end, ``BLOCK`` at most in a row: pairs come up where they are counted, and are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,44 +16,80 @@ from pyspark.sql import functions as F
 
 
 BLOCK = 1000
+_TASK_EDGES = 100_000
 
 
-def _meet(mine: DataFrame, e: DataFrame, key: str) -> DataFrame:
-    """Sources and edges that share ``key``, the sources of a key in blocks of ``BLOCK``."""
-    blocks = e.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    dealt = mine.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64("source"), F.col("_blocks")).cast("int"))
-    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    met = e.join(blocks, key).withColumn("_block", all_blocks)
-    return dealt.drop("_blocks").join(met.drop("_blocks"), [key, "_block"]).drop("_block")
+def _tasks(edges: DataFrame) -> int:
+    """Partitions that grow with the edges, so that what one task counts doesn't."""
+    return max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // _TASK_EDGES))
+
 
+def _met(mine: DataFrame, e: DataFrame, key: str, other: str, also: list[str], both: bool, tasks: int) -> DataFrame:
+    """``(source, other, *also, *own)`` for each ``key`` that a source shares with another work,
+    all rows of a source in one partition. ``also``: columns of ``e``; ``own``: those of ``mine``
+    beside source and key. Unless ``both``, a pair comes once, from its smaller work.
 
-def _mine(e: DataFrame, sources: DataFrame | None, own: str, shared: str) -> DataFrame:
-    rows = e.select(F.col(own).alias("source"), shared)
+    Both the sources and the works of a key are in blocks of ``BLOCK``."""
+    blocks = e.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    blocks = F.broadcast(blocks.where("_blocks > 1"))  # a row for every BLOCK edges at most
+
+    def dealt(rows, work):
+        n = F.coalesce("_blocks", F.lit(1))
+        return rows.join(blocks, key, "left").withColumns({"_n": n, "_block": F.pmod(F.xxhash64(work), n).cast("int")}).drop("_blocks")
+
+    sides = dealt(e, other).groupBy(key, "_n", F.col("_block").alias("_part")).agg(F.sort_array(F.collect_list(F.struct(other, *also))).alias("_w"))
+    # a column each: structs take more room in an array
+    lists = [F.col(f"_w.{c}").alias(f"_{c}") for c in (other, *also)]
+    sides = sides.select(key, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block"), *lists)
+    met = dealt(mine, "source").drop("_n").join(sides, [key, "_block"]).drop(key, "_block")
+    if not both:
+        met = met.where(F.element_at(f"_{other}", -1) > F.col("source"))
+    moved = met.repartition(tasks, "source")
+    own = [c for c in mine.columns if c != key]
+    pairs = moved.select(*own, F.inline(F.arrays_zip(*[F.col(f"_{c}").alias(c) for c in (other, *also)])))
+    return pairs.where(F.col(other) > F.col("source") if not both else F.col(other) != F.col("source"))
+
+
+def _mine(e: DataFrame, sources: DataFrame | None, own: str, *others: str) -> DataFrame:
+    rows = e.select(F.col(own).alias("source"), *others)
     return rows if sources is None else rows.join(sources.select(F.col(own).alias("source")).distinct(), "source")
 
 
+def _each_way(one: str, two: str, *columns: tuple[Column, Column, str]) -> Column:
+    """Both directions of a pair: columns as ``one`` and as ``two`` sees them."""
+    there = F.struct(F.col(one).alias("source"), F.col(two).alias(two), *[x.alias(n) for x, _, n in columns])
+    back = F.struct(F.col(two).alias("source"), F.col(one).alias(two), *[y.alias(n) for _, y, n in columns])
+    return F.inline(F.array(there, back))
+
+
 def cocited(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str, least: int = 2) -> DataFrame:
     """Works cited together with each source work by ``least`` or more citing works."""
     e = edges.select(citing, cited).distinct()
-    pairs = _meet(_mine(e, sources, cited, citing), e, citing).where(F.col("source") != F.col(cited))
-    return pairs.groupBy("source", cited).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    pairs = _met(_mine(e, sources, cited, citing), e, citing, cited, [], sources is not None, _tasks(edges))
+    counts = pairs.groupBy("source", cited).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    if sources is not None:
+        return counts
+    return counts.select(_each_way("source", cited, (F.col("shared"), F.col("shared"), "shared")))
+
+
+def _with_degree(edges: DataFrame, citing: str, cited: str) -> DataFrame:
+    e = edges.select(citing, cited).distinct()
+    return e.join(e.groupBy(citing).agg(F.count("*").cast("int").alias("degree")), citing)
 
 
 def coupled(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str) -> DataFrame:
     """Works that share references with each source work: overlap, its share of the source's
     references in percent, Jaccard index."""
-    e = edges.select(citing, cited).distinct()
-    degree = e.groupBy(citing).agg(F.count("*").alias("degree"))
-    shared = _meet(_mine(e, sources, citing, cited), e, cited).where(F.col("source") != F.col(citing)).groupBy("source", citing).agg(F.count("*").alias("overlap"))
-    a = degree.select(F.col(citing).alias("source"), F.col("degree").alias("da"))
-    out = shared.join(a, "source").join(degree.withColumnRenamed("degree", "db"), citing)
-    return out.select(
-        "source",
-        citing,
-        "overlap",
-        F.round(100.0 * F.col("overlap") / F.col("da"), 2).alias("pct"),
-        F.round(F.col("overlap") / (F.col("da") + F.col("db") - F.col("overlap")), 6).alias("jaccard"),
-    )
+    e = _with_degree(edges, citing, cited)
+    mine = _mine(e, sources, citing, cited, F.col("degree").alias("da"))
+    pairs = _met(mine, e, cited, citing, ["degree"], sources is not None, _tasks(edges))
+    shared = pairs.groupBy("source", citing).agg(F.count("*").alias("overlap"), F.any_value("da").alias("da"), F.any_value("degree").alias("db"))
+    n = F.col("overlap")
+    ways = [F.round(100.0 * n / F.col(c), 2) for c in ("da", "db")]
+    jaccard = F.round(n / (F.col("da") + F.col("db") - n), 6)
+    if sources is not None:
+        return shared.select("source", citing, "overlap", ways[0].alias("pct"), jaccard.alias("jaccard"))
+    return shared.select(_each_way("source", citing, (n, n, "overlap"), (*ways, "pct"), (jaccard, jaccard, "jaccard")))
 
 
 def gaps(edges: DataFrame, bibliography: DataFrame, citing: str, cited: str, least: int = 2, top: int = 10) -> DataFrame:
@@ -85,7 +124,21 @@ def cull_edges(edges: DataFrame, most: int) -> DataFrame:
     return edges.orderBy(F.desc("weight"), "a", "b").limit(most)
 
 
-def rerank(candidates: DataFrame, limit: int, own: str) -> DataFrame:
-    """A pool of max(3 * limit, 15) by co-citations, then by overlap, shared and id."""
-    pool = candidates.orderBy(F.desc("shared"), own).limit(max(3 * limit, 15))
-    return pool.orderBy(F.desc("pct"), F.desc("overlap"), F.desc("shared"), own).limit(limit)
+def reranked(edges: DataFrame, limit: int, citing: str, cited: str) -> DataFrame:
+    """``(citing, shared, overlap, pct)``: of the max(3 * limit, 15) works that share most
+    references with all others, the ``limit`` first by ``pct``, the largest share of another
+    work's references in percent, then by overlap, shared and id.
+
+    What a work shares with all others is the sum, over its references, of the others that
+    cite them: the pool is known without a pair, and only its works meet theirs."""
+    e = _with_degree(edges, citing, cited)
+    others = e.groupBy(cited).agg((F.count("*") - 1).alias("others"))
+    pool = e.join(others, cited).groupBy(citing).agg(F.sum("others").alias("shared")).where("shared > 0")
+    pool = pool.orderBy(F.desc("shared"), citing).limit(max(3 * limit, 15))
+    mine = e.join(F.broadcast(pool), citing).select(F.col(citing).alias("source"), cited, "shared")
+    theirs = e.select(F.col(citing).alias("other"), cited, "degree")
+    met = theirs.join(F.broadcast(mine), cited).where("source <> other")
+    pairs = met.groupBy("source", "other").agg(F.count("*").alias("n"), F.any_value("shared").alias("shared"), F.any_value("degree").alias("degree"))
+    pct = F.max(F.round(100.0 * F.col("n") / F.col("degree"), 2))
+    best = pairs.groupBy(F.col("source").alias(citing)).agg(F.any_value("shared").alias("shared"), F.max("n").alias("overlap"), pct.alias("pct"))
+    return best.orderBy(F.desc("pct"), F.desc("overlap"), F.desc("shared"), citing).limit(limit)

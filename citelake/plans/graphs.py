@@ -95,10 +95,7 @@ def clique_edges(spark, sf_dir):
 
 @register(_RERANKED)
 def reranked_candidates(spark, sf_dir):
-    found = jaccard_overlap(spark, sf_dir).groupBy("l_orderkey").agg(
-        F.sum("overlap").alias("shared"), F.max("overlap").alias("overlap"), F.max("pct").alias("pct")
-    )
-    return graph.rerank(found, 20, "l_orderkey")
+    return graph.reranked(_edges(spark, sf_dir), 20, "l_orderkey", "l_partkey")
 
 
 @register(_RERANKED)

@@ -34,3 +34,21 @@ def test_every_work_is_a_source(spark, tmp_path, monkeypatch):
     most = {b: max(n for (_, c), n in overlap.items() if c == b) for b in cites}
     want = sorted(cites, key=lambda b: (-pct[b], -most[b], -shared[b], b))[:20]
     assert [r["l_orderkey"] for r in graphs.reranked_candidates_all(spark, str(tmp_path)).collect()] == want
+
+
+def test_pairs_are_counted_where_they_come_up(spark, monkeypatch):
+    """Lists move, pairs don't: nothing is exchanged above what makes pairs of lists."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(o, p) for o in range(30) for p in {0, *rng.choices(range(1, 9), k=3)}]
+    edges = spark.createDataFrame(rows, "o long, p long")
+    some = spark.createDataFrame([(1,), (7,)], "o long")
+    cites = {o: {p for x, p in rows if x == o} for o in range(30)}
+    for sources, asked in ((None, range(30)), (some, (1, 7))):
+        found = graph.coupled(edges, sources, "o", "p")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert 0 < plan.index("arrays_zip") < plan.index("Exchange")
+        got = {(r["source"], r["o"]): r["overlap"] for r in found.collect()}
+        assert got == {(a, b): len(cites[a] & cites[b]) for a in asked for b in cites if a != b}
+    plan = graph.reranked(edges, 2, "o", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "arrays_zip" not in plan
