@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelake.functions import names, text
-from citelake.plans.tables import table
+from citelake.plans.tables import spread, table
 from citelake.registry import register
 
 _AB = "SELECT p_partkey, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) AS a, upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS b FROM part"
@@ -18,7 +18,7 @@ def _pair(spark, sf_dir):
         w = F.split_part("p_name", F.lit(" "), F.lit(k))
         return F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))
 
-    return table(spark, sf_dir, "part").select("p_partkey", word(1).alias("a"), word(2).alias("b"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", word(1).alias("a"), word(2).alias("b"))
 
 
 def _of(key, *choices):
@@ -117,7 +117,7 @@ def compared_author_lists(spark, sf_dir):
     """Orders as works: the parts of all lines are the record's authors, ``red bolt``; those of
     the lines that were not returned are cited, by supplier, as ``R. Bolt``."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", "l_linenumber", "l_partkey").join(parts, "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_returnflag", "l_suppkey", "l_linenumber", "l_partkey").join(parts, "l_partkey")
     person = F.initcap("name")
     short = F.concat(F.left(person, F.lit(1)), F.lit(". "), F.split_part(person, F.lit(" "), F.lit(2)))
     lists = lines.groupBy("l_orderkey").agg(

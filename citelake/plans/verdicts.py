@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import titles, verdicts
 from citelake.operators import results, wordbreaks
-from citelake.plans.tables import table
+from citelake.plans.tables import spread, table
 from citelake.registry import register
 
 
@@ -277,7 +277,7 @@ def joined_fragments(spark, sf_dir):
     broken = F.concat(F.lit("V oicebox for "), F.col("p_name"))
     glued = F.concat(F.lit("Averyveryverylongword"), F.col("p_name"))
     spaced = F.concat(F.lit("A very very very long word"), F.col("p_name"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", broken.alias("broken"), titles.join_fragments(broken).alias("joined"), titles.spaces_lost(glued, spaced).alias("lost")
     )
 
@@ -291,7 +291,7 @@ def joined_fragments(spark, sf_dir):
 )
 def title_word_overlap(spark, sf_dir):
     share = titles.words_overlap(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(share, 6).alias("overlap"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.round(share, 6).alias("overlap"))
 
 
 @register(
@@ -303,13 +303,16 @@ def identifier_mismatches(spark, sf_dir):
     key = F.col("p_partkey")
 
     def ident(n):
-        return F.concat(F.lit("https://arxiv.org/abs/2101."), n.cast("string"), F.lit("v2"))
+        # a month has 99,999 numbers at most, so the key fills the archive's letters, too
+        number = F.lpad(n.cast("string"), 12, "0")
+        archive = F.translate(F.left(number, F.lit(5)), "0123456789", "abcdefghij")
+        return F.concat(F.lit("https://arxiv.org/abs/"), archive, F.lit("/"), F.right(number, F.lit(7)), F.lit("v2"))
 
     title, other = F.col("p_name"), F.when(key % 3 == 1, "Unrelated quantum chemistry survey").otherwise(F.col("p_name"))
     authors = F.array(F.lit("Ann Lee"), F.lit("Bo Chen"))
     by = F.when(key % 2 == 0, authors).otherwise(F.array(F.lit("Zoe Quist"), F.lit("Yan Pol")))
     found = verdicts.id_mismatch(ident(key + 10000), ident(key + 10000 + F.when(key % 3 == 0, 1).otherwise(0)), title, authors, other, by)
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("mismatch"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", found.alias("mismatch"))
 
 
 @register(
@@ -327,6 +330,6 @@ def version_match_scores(spark, sf_dir):
 
     title = F.col("p_name")
     score = verdicts.match_score(title, at(lists), F.upper(title), at(others))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.round(score, 6).alias("score"))
 
 
