@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citelake.functions import enrichment, styles
-from citelake.plans.tables import table
+from citelake.plans.tables import spread, table
 from citelake.registry import register
 
 
@@ -62,7 +62,7 @@ def _payload() -> Column:
     FROM p"""
 )
 def enriched_records(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", enrichment.enrichment(_payload()).alias("e"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", enrichment.enrichment(_payload()).alias("e"))
     names = F.transform(F.col("e.authors"), lambda a: a["name"])
     kinds = F.array_sort(F.map_keys(F.coalesce(enrichment.links(F.col("e")), F.create_map().cast("map<string,string>"))))
     return rows.select(
@@ -91,7 +91,7 @@ def backfilled_records(spark, sf_dir):
     doi = F.concat(F.lit("10.1/"), key.cast("string"))
     count = F.when(key % 3 == 0, 0).when(key % 3 == 1, F.col("p_size"))
     own = F.to_json(F.struct(doi.alias("doi"), count.alias("citationCount"), F.when(key % 3 == 1, F.col("p_name")).alias("abstract")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", enrichment.enrichment(own).alias("e"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", enrichment.enrichment(own).alias("e"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(F.col("l_quantity").cast("bigint")).alias("n"))
     other = F.to_json(
         F.struct(
