@@ -17,14 +17,17 @@ def key_cascade(refs: DataFrame, ref_id: str, corpus: DataFrame, corpus_id: str,
     """Per reference the corpus row that its first matching key strategy finds, smallest id
     first: ``(ref_id, corpus_id, strategy)``. Null and '' keys match nothing.
 
-    All strategies are one equi-join on (strategy, key), not a join for each.
+    All strategies are one equi-join on (strategy, key), not a join for each. Of the corpus
+    rows of one key only the smallest can win: a reference meets one row for each strategy,
+    however many share its keys.
     """
 
     def keyed(rows, own, keys):
         each = F.array(*[F.struct(F.lit(k).alias("strategy"), c.alias("key")) for k, c in enumerate(keys)])
         return rows.select(F.col(own), F.explode(each).alias("k")).select(own, "k.strategy", "k.key").where("key <> ''")
 
-    hits = keyed(refs, ref_id, ref_keys).join(keyed(corpus, corpus_id, corpus_keys), ["strategy", "key"])
+    first = keyed(corpus, corpus_id, corpus_keys).groupBy("strategy", "key").agg(F.min(corpus_id).alias(corpus_id))
+    hits = keyed(refs, ref_id, ref_keys).join(first, ["strategy", "key"])
     best = hits.groupBy(ref_id).agg(F.min(F.struct("strategy", corpus_id)).alias("b"))
     return best.select(ref_id, F.col(f"b.{corpus_id}").alias(corpus_id), F.col("b.strategy").alias("strategy"))
 
@@ -104,6 +107,7 @@ def best_within_years(refs: DataFrame, works: DataFrame, ref: str, work: str, bl
     asks = refs.select(ref, block, F.col(year).alias("_year"), gaps).withColumn(year, F.col("_year") + F.col("_gap"))
     other = F.when(F.col("_a") != F.col(ref), F.col("_a")).when(F.col("_b") != F.col(ref), F.col("_b"))
     score = F.lit(base) + year_gap_score(F.col("_year"), F.col(year))
-    met = asks.join(two, [block, year]).select(ref, other.alias(work), score.alias("score")).where(F.col(work).isNotNull() & (F.col("score") >= base))
+    # merged: both sides look small enough to broadcast by their file, and may be more than a driver holds
+    met = asks.join(two.hint("merge"), [block, year]).select(ref, other.alias(work), score.alias("score")).where(F.col(work).isNotNull() & (F.col("score") >= base))
     best = met.groupBy(ref).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(work).alias("w"))).alias("b"))
     return best.select(ref, F.col("b.w").alias(work), (-F.col("b.s")).alias("score"))
