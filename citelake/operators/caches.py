@@ -37,20 +37,48 @@ def fuzzy_cached(refs: DataFrame, cache: DataFrame, ref: str, entry: str) -> Dat
     on one side alone needs an entry with an identifier. Ties go to the smaller entry.
 
     Both sides have ``title, surname, year, doi``; entries also ``arxiv, status``. An entry
-    meets references under either length of prefix, by equality.
+    meets references under either length of prefix, by equality. Of the entries that a
+    reference can't tell apart (prefix, surname, year, DOI as far as it counts) one can win,
+    a verified one before others: a reference meets eight of these at most.
     """
+
+    def slot(kind, year=None, points=None):
+        out = [F.lit(kind).alias("kind"), F.coalesce(year if year is not None else F.lit(None), F.lit(0)).cast("long").alias("at")]
+        more = [] if points is None else [F.lit(points).alias("points")]
+        return F.struct(*out, *more).cast("struct<kind: string, at: bigint" + (", points: int>" if more else ">"))
+
+    def by_doi(kind, doi=None):
+        return F.struct(F.lit(kind).alias("doi_kind"), F.lit("").alias("doi") if doi is None else F.lower(doi).alias("doi")).cast("struct<doi_kind: string, doi: string>")
+
+    year, doi = F.col("_year"), F.col("_doi")
     asks = refs.select(ref, title_prefix(F.col("title")).alias("p"), *[F.col(c).alias(f"_{c}") for c in ("surname", "year", "doi")])
+    dated = F.array(slot("at", year, 2), slot("at", year - 1, 1), slot("at", year + 1, 1), slot("undated, anchored", None, 0))
+    # 2 for the same year: two missing years are no same year
+    undated = F.array(slot("dated, anchored", None, 0), slot("undated", None, 0))
+    asks = asks.where("p is not null and _surname <> ''").select(
+        ref, "p", "_surname", F.explode(F.when(year.isNotNull(), dated).otherwise(undated)).alias("slot"), F.when(doi.isNull(), F.array(by_doi("all"))).otherwise(F.array(by_doi("none"), by_doi("same", doi))).alias("dois")
+    )
+    asks = asks.select(ref, "p", "_surname", "slot.*", F.explode("dois").alias("d")).select(ref, "p", "_surname", "kind", "at", "points", "d.*")
+
     key = title_key_spaced(F.col("title"))
     both = F.array_distinct(F.array(F.left(key, F.lit(60)), F.left(key, F.lit(80))))
-    have = cache.select(entry, F.explode(both).alias("p"), F.col("surname").alias("_surname"), "year", "doi", "arxiv", "status")
-    met = asks.where("p is not null and _surname <> ''").join(have, ["p", "_surname"])
-    gap = F.abs(F.col("year") - F.col("_year"))
-    one_side = F.col("year").isNull() != F.col("_year").isNull()
     anchored = F.col("doi").isNotNull() | F.col("arxiv").isNotNull()
-    fits = (F.coalesce(gap, F.lit(0)) <= 1) & (~one_side | anchored)
-    agrees = F.col("doi").isNull() | F.col("_doi").isNull() | (F.lower("doi") == F.lower("_doi"))
-    score = 1 + F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0) + F.when(F.col("status") == "verified", 1).otherwise(0)
-    scored = met.where(fits & agrees).select(ref, entry, score.alias("score"))
+    has_year = F.col("year").isNotNull()
+    slots = F.array_compact(
+        F.array(
+            F.when(has_year, slot("at", F.col("year"))),
+            F.when(has_year & anchored, slot("dated, anchored")),
+            F.when(~has_year, slot("undated")),
+            F.when(~has_year & anchored, slot("undated, anchored")),
+        )
+    )
+    dois = F.array(by_doi("all"), F.when(F.col("doi").isNull(), by_doi("none")).otherwise(by_doi("same", F.col("doi"))))
+    worth = F.struct(F.when(F.col("status") == "verified", -1).otherwise(0).alias("v"), entry).alias("w")
+    have = cache.select(F.explode(both).alias("p"), F.col("surname").alias("_surname"), slots.alias("slots"), dois.alias("dois"), worth)
+    have = have.select("p", "_surname", F.explode("slots").alias("slot"), "dois", "w").select("p", "_surname", "slot.*", F.explode("dois").alias("d"), "w")
+    same = ["p", "_surname", "kind", "at", "doi_kind", "doi"]
+    first = have.select("p", "_surname", "kind", "at", "d.*", "w").groupBy(*same).agg(F.min("w").alias("w"))
+    scored = asks.join(first, same).select(ref, F.col(f"w.{entry}").alias(entry), (1 + F.col("points") - F.col("w.v")).alias("score"))
     best = scored.groupBy(ref).agg(F.min(F.struct((-F.col("score")).alias("s"), entry)).alias("b"))
     return best.select(ref, F.col(f"b.{entry}").alias(entry), (-F.col("b.s")).cast("int").alias("score"))
 
