@@ -169,6 +169,29 @@ def short_quote(text: Column, most: int = 400) -> Column:
     return F.when(F.length(text) > most, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
+def inverted_index(words: Column) -> Column:
+    """A map from each word to its places, from 0: the words are sorted with their places, and
+    runs of equal ones are cut out, within the row that holds the text."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def cut(s):
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["word"] != x["word"]), i)), lambda i: i.isNotNull())
+        return let(starts, lambda a: runs(s, a))
+
+    def runs(s, starts):
+        return F.map_from_entries(
+            F.transform(
+                starts,
+                lambda a, k: F.struct(
+                    F.get(s, a)["word"].alias("word"),
+                    F.transform(F.slice(s, a + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - a), lambda x: x["at"]).alias("at"),
+                ),
+            )
+        )
+
+    return let(placed, cut)
+
+
 def text_of_inverted_index(index: Column, most: int | None = None) -> Column:
     """The text of a map from words to their positions; of an abstract, say, its first
     ``most`` characters."""

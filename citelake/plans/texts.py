@@ -59,12 +59,9 @@ def inverted_index_rebuild(spark, sf_dir):
     """Each document's words as a map to positions and back: ``same`` is true for all."""
     words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    places = docs.select("doc_id", F.posexplode("w").alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("at"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    rebuilt = index.select("doc_id", text.text_of_inverted_index(F.col("index")).alias("text"))
-    return rebuilt.join(docs, "doc_id").select(
-        "doc_id", (F.col("text") == F.array_join("w", " ")).alias("same"), F.md5("text").alias("digest")
-    )
+    held = docs.where(F.size("w") > 0).withColumn("index", text.inverted_index(F.col("w")))
+    rebuilt = held.select("doc_id", "w", F.explode(F.array(text.text_of_inverted_index(F.col("index")))).alias("text"))
+    return rebuilt.select("doc_id", (F.col("text") == F.array_join("w", " ")).alias("same"), F.md5("text").alias("digest"))
 
 
 @register(
