@@ -75,6 +75,8 @@ def contexts(docs: DataFrame, doc: str, text: Column, width: int = 120) -> DataF
 
 def dense_numbers(marks: DataFrame, doc: str) -> DataFrame:
     """Numbers by order of first mention."""
-    first = marks.groupBy(doc, "number").agg(F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy("first", "number"))
-    return marks.join(first.select(doc, "number", rank.alias("new_number")), [doc, "number"])
+    first = F.min("at").over(Window.partitionBy(doc, "number"))
+    rank = F.dense_rank().over(Window.partitionBy(doc).orderBy("_first", "number"))
+    # windows within a document: rows dealt by document stay where they are
+    known = marks.where(F.col(doc).isNotNull() & F.col("number").isNotNull())
+    return known.withColumn("_first", first).withColumn("new_number", rank).drop("_first")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import names, scoring, text
 from citelake.operators import citations, deltas, markers, results, similarity
-from citelake.plans.tables import table
+from citelake.plans.tables import spread, table
 from citelake.registry import register
 
 _LINES = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem)"
@@ -190,7 +190,8 @@ def renumbered_markers(spark, sf_dir):
 )
 def dense_renumbering(spark, sf_dir):
     at = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    marks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d"), F.col("l_partkey").alias("number"), at.alias("at"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    marks = lines.select(F.col("l_orderkey").alias("d"), F.col("l_partkey").alias("number"), at.alias("at"))
     return citations.dense_numbers(marks, "d").groupBy("d", "number", "new_number").agg(F.count("*").alias("mentions"))
 
 
