@@ -109,28 +109,20 @@ def merge_intervals(rows: DataFrame, group: str, start: str, end: str, own: str
 
 def covered_segments(rows: DataFrame, group: str, start: str, end: str, own: str) -> DataFrame:
     """``(group, start, end, ids)``: maximal segments between neighbouring endpoints and the
-    intervals over each (not none), sorted. A sweep over an island's endpoints carries the set
-    of open intervals; a row holds one island, not its group. ``own`` is unique in a group; an
-    interval of no length covers nothing."""
-    islands = _with_islands(rows.where(F.col(start) <= F.col(end)), group, start, end)
-    ends = F.array(F.struct(F.col(start).alias("at"), F.lit(True).alias("opens")), F.struct(F.col(end).alias("at"), F.lit(False).alias("opens")))
-    events = islands.select(group, "_island", F.col(own).alias("id"), F.explode(ends).alias("e")).select(group, "_island", "id", "e.*")
-
-    def ids(opens):
-        return F.collect_list(F.when(F.col("opens") == opens, F.col("id")))
-
-    points = events.groupBy(group, "_island", "at").agg(ids(True).alias("on"), ids(False).alias("off"))
-    swept = points.groupBy(group, "_island").agg(F.array_sort(F.collect_list(F.struct("at", "on", "off"))).alias("points"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = f"array<struct<{start}:{kinds[start]},{end}:{kinds[end]},ids:array<{kinds[own]}>>>"
-
-    def sweep(state, point):
-        segment = F.struct(state["at"].alias(start), point["at"].alias(end), F.sort_array(state["open"]).alias("ids"))
-        done = F.when(F.size(state["open"]) > 0, F.array_append(state["done"], segment)).otherwise(state["done"])
-        return F.struct(point["at"].alias("at"), F.array_except(F.concat(state["open"], point["on"]), point["off"]).alias("open"), done.alias("done"))
-
-    nothing = F.struct(F.lit(None).cast(kinds[start]).alias("at"), F.array().cast(f"array<{kinds[own]}>").alias("open"), F.array().cast(out).alias("done"))
-    return swept.select(group, F.inline(F.aggregate("points", nothing, sweep)["done"]))
+    intervals over each (not none), sorted. Endpoints are numbered in their group, an interval
+    is over the segments from its first to its last number: rows are what the result lists.
+    ``own`` is unique in a group; an interval of no length covers nothing."""
+    ends = F.array(F.col(start), F.col(end))
+    events = rows.where(F.col(start) <= F.col(end)).select(group, F.col(own).alias("_id"), F.explode(ends).alias("_at"))
+    placed = events.withColumn("_n", F.dense_rank().over(Window.partitionBy(group).orderBy("_at")))
+    after = F.min("_at").over(Window.partitionBy(group).orderBy("_n").rangeBetween(1, 1))
+    placed = placed.withColumn("_after", after)
+    points = placed.select(group, "_n", F.col("_at").alias(start), F.col("_after").alias(end), F.lit(None).cast(rows.schema[own].dataType).alias("_id")).distinct()
+    spans = placed.groupBy(group, "_id").agg(F.min("_n").alias("a"), F.max("_n").alias("b")).where("a < b")
+    over = spans.select(group, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("_n"), "_id")
+    both = points.unionByName(over, allowMissingColumns=True)
+    found = both.groupBy(group, "_n").agg(F.max(start).alias(start), F.max(end).alias(end), F.sort_array(F.collect_list("_id")).alias("ids"))
+    return found.where(F.size("ids") > 0).select(group, start, end, "ids")
 
 
 def interval_segments(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:

@@ -38,3 +38,12 @@ def test_no_intervals(spark):
     assert sequence.covered_segments(none, "g", "s", "e", "id").count() == 0
     odd = spark.createDataFrame([(1, 1, 5, 3), (1, 2, None, 4), (None, 3, 1, 2), (1, 4, 7, 7)], "g int, id long, s int, e int")
     assert [tuple(r) for r in sequence.covered_segments(odd, "g", "s", "e", "id").collect()] == [(None, 1, 2, [3])]
+
+
+def test_covered_segments_are_no_fold_over_an_island(spark):
+    """Rows are what the result lists, however long an island is: no array grows point by point."""
+    df = spark.createDataFrame([("g", 0, 5, 1), ("g", 5, 9, 2), ("g", 3, 3, 3), (None, 1, 2, 4)], "g string, s int, e int, id long")
+    found = sequence.covered_segments(df, "g", "s", "e", "id")
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {("g", 0, 3, (1,)), ("g", 3, 5, (1,)), ("g", 5, 9, (2,)), (None, 1, 2, (4,))}
+    assert {(r["g"], r["s"], r["e"], tuple(r["ids"])) for r in found.collect()} == want
