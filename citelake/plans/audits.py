@@ -97,7 +97,7 @@ def _citing(spark, sf_dir):
     author; 1990 and the size as year) and a sentence that cites: by numbers, alpha keys or
     author and year, as the order's number has it."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("noun"), (1990 + F.col("p_size")).alias("year"))
-    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(parts, "l_partkey")
     q = F.col("l_quantity").cast("int") % 9 + 1
     number = F.when(F.col("l_discount") > 0.09, F.format_string("[%d–%d]", q + 2, q)).otherwise(F.format_string("[%d]", q))
     alpha = F.when(F.col("l_returnflag") == "R", "[Qx97]").otherwise(F.concat(F.lit("["), F.left("noun", F.lit(3)), F.right(F.col("year").cast("string"), F.lit(2)), F.lit("]")))
