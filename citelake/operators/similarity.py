@@ -36,8 +36,8 @@ def _triples(text):
 
 def contained_pairs(rows: DataFrame, own: str, text: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``(inner, outer)``: values of ``own`` whose text stands inside another, longer one with
-    equal ``within`` columns. Texts are lower-case words with single blanks; those under three
-    characters, and null ones, are inside nothing."""
+    equal ``within`` columns. Texts are compared as they are; those under three characters, and
+    null ones, are inside nothing."""
     base = rows.select(own, *within, F.col(text).alias("t"), F.split(text, " ").alias("tokens")).where("length(t) > 2")
     inner_words = F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(1)))
     met = []

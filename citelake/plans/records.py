@@ -235,15 +235,16 @@ def repeated_references(spark, sf_dir):
     """Orders as lists of references: the lines' parts as titles, in capitals or inside others."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, "l_partkey")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     longer = F.concat(F.lit("on the "), "p_name", F.lit(" of "), "p_type")
     title = F.when(F.col("l_linenumber") % 3 == 0, F.upper("p_name")).when(F.col("l_linenumber") % 3 == 1, F.col("p_name")).otherwise(longer)
+    titled = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", title.alias("title"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     authors = F.concat(F.lit("a"), (F.col("l_suppkey") % 3).cast("string"))
-    refs = lines.select("l_orderkey", place.alias("i"), title.alias("title"), authors.alias("authors"), F.lit("").alias("venue"))
-    refs = refs.withColumn("ref", F.col("l_orderkey") * 1000 + F.col("i"))
-    gone = duplicates.repeated(refs, "ref", "l_orderkey").select("ref", F.lit(1).alias("gone"))
-    marked = refs.join(gone, "ref", "left")
-    return marked.groupBy("l_orderkey").agg(F.count("*").alias("n_references"), F.count("gone").alias("n_repeated"), F.sum(F.when(F.col("gone") == 1, F.col("i"))).cast("long").alias("places"))
+    placed = titled.withColumn("i", place)  # authors are made where the lines of an order are: they don't move
+    refs = placed.select("l_orderkey", F.struct("l_orderkey", "i").alias("ref"), "title", authors.alias("authors"), F.lit("").alias("venue"))
+    lists = duplicates.repeated_by_list(refs, "ref", "l_orderkey")
+    places = F.when(F.size("gone") > 0, F.aggregate("gone", F.lit(0).cast("long"), lambda n, g: n + g["own"]["i"]))
+    return lists.groupBy("l_orderkey").agg(F.sum("n").alias("n_references"), F.sum(F.size("gone").cast("long")).alias("n_repeated"), F.sum(places).alias("places"))
 
 
 @register("SELECT doc_id, text IS NOT NULL AND regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') AS dirty, replace(coalesce(text, ''), chr(1), '') = coalesce(text, '') AS same FROM documents WHERE doc_id >= 0")

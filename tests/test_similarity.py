@@ -149,3 +149,79 @@ def test_a_reference_that_goes_takes_no_other_with_it(spark):
     df = spark.createDataFrame(rows, "ref long, title string, authors string, venue string")
     assert sorted(map(tuple, duplicates.repeated(df, "ref").collect())) == [(2, 1), (4, 3)]
     assert duplicates.repeated(df.limit(0), "ref").count() == 0
+
+
+def read_in_order(rows):
+    """Reading each list in its order, each reference against those that stay."""
+    gone, stay = {}, {}
+    for k, which, *values in sorted(rows, key=lambda r: r[0]):
+        own = tuple((v or "").strip().lower() for v in values)
+        said = [i for i, other in stay.get(which, []) if says_the_same(own, other)]
+        if which is not None and said:
+            gone[k] = said[0]
+        else:
+            stay.setdefault(which, []).append((k, own))
+    return gone
+
+
+def mixed_lists(seed):
+    rng = random.Random(seed)
+    base = ["deep nets", "on deep nets", "c++", "learning c++ fast", "???", "what???", "it", "it is", "a  b c", "x a  b c y", "arXiv preprint arXiv:2101.00001", "étude", "une étude", "", None]
+    people = ["Ann Ek; Bo Quist", "Ann Ek; Cy Diaz; Di Moe", "Cy Diaz", "", None]
+    sizes = {0: 1, 1: 2, 2: 4, 3: 5, 4: 9, 5: 40, None: 6}
+    lists = [which for which, n in sizes.items() for _ in range(n)]
+    rng.shuffle(lists)
+    return [(k, which, rng.choice(base), rng.choice(people), rng.choice(["arXiv:2101.00001", "NeurIPS", None])) for k, which in enumerate(lists)]
+
+
+@pytest.mark.parametrize("at_once", [4, 256])
+def test_lists_of_any_size_give_what_reading_in_order_gives(spark, at_once):
+    from citelake.operators import duplicates
+
+    rows = mixed_lists(7)
+    want = read_in_order(rows)
+    df = spark.createDataFrame(rows, "ref long, list int, title string, authors string, venue string").repartition(3)
+    assert {r["ref"]: r["kept"] for r in duplicates.repeated(df, "ref", "list", at_once=at_once).collect()} == want and len(want) > 20
+    added = {}
+    for r in duplicates.repeated_by_list(df, "ref", "list", at_once=at_once).collect():
+        n, gone = added.get(r["list"], (0, []))
+        added[r["list"]] = (n + r["n"], gone + [g["own"] for g in r["gone"]])
+    which = {r[0]: r[1] for r in rows}
+    sizes = {k: sum(r[1] == k for r in rows) for k in range(6)}
+    assert {k: (n, sorted(gone)) for k, (n, gone) in added.items()} == {k: (sizes[k], sorted(g for g in want if which[g] == k)) for k in sizes}
+
+
+def test_lists_move_once(spark, tmp_path, monkeypatch):
+    """Words of titles met by a join before, texts moved many times over and were written again."""
+    from citelake.operators import duplicates
+
+    rows = spark.range(4000).selectExpr("id as ref", "id div 4 as list", "concat('a study of things ', id % 50) as title", "'ann' as authors", "'' as venue")
+    rows.write.parquet(str(tmp_path / "refs"))
+    written, write = [], duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    found = duplicates.repeated(spark.read.parquet(str(tmp_path / "refs")), "ref", "list")
+    assert len(written) == 1 and written[0].count("Exchange") == 1 and "Join" not in written[0]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0
+
+
+def test_orders_of_over_a_thousand_lines(spark, tmp_path):
+    """Lines are told apart whatever their number; the order's list is settled in rounds."""
+    import __spark_entry__ as lake
+
+    spark.range(3).selectExpr("id as p_partkey", "element_at(array('red bolt', 'old ring', 'hot nut'), int(id) + 1) as p_name", "'SMALL' as p_type").write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(1203).selectExpr("if(id < 1201, 5L, 6L) as l_orderkey", "int(id % 6) as l_linenumber", "id % 3 as l_partkey", "id % 5 as l_suppkey")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    names = ["red bolt", "old ring", "hot nut"]
+    want = {}
+    for order, ids in ((5, range(1201)), (6, range(1201, 1203))):
+        stay, gone = [], []
+        for i, (line, part, supplier) in enumerate(sorted((k % 6, k % 3, k % 5) for k in ids), 1):
+            t, who = (f"on the {names[part]} of small" if line % 3 == 2 else names[part]), supplier % 3
+            if any(t == u or (who == other and (t in u or u in t)) for u, other in stay):
+                gone.append(i)
+            else:
+                stay.append((t, who))
+        want[order] = (i, len(gone), sum(gone) if gone else None)
+    found = lake.queries()["repeated_references"](spark, str(tmp_path)).collect()
+    assert {r["l_orderkey"]: (r["n_references"], r["n_repeated"], r["places"]) for r in found} == want
