@@ -225,3 +225,15 @@ def test_orders_of_over_a_thousand_lines(spark, tmp_path):
         want[order] = (i, len(gone), sum(gone) if gone else None)
     found = lake.queries()["repeated_references"](spark, str(tmp_path)).collect()
     assert {r["l_orderkey"]: (r["n_references"], r["n_repeated"], r["places"]) for r in found} == want
+
+
+def test_signs_count_in_a_title(spark):
+    """Three characters are enough, whatever they are; two are not, also where letters agree."""
+    from citelake.operators import duplicates
+
+    rows = [(1, 1, "learning c++ fast", "a", ""), (2, 1, "c++", "a", ""), (3, 2, "c++", "a", ""), (4, 2, "c", "a", ""), (5, 2, "c+", "a", "")]
+    df = spark.createDataFrame(rows, "ref long, list int, title string, authors string, venue string")
+    for at_once in (1, 256):
+        assert sorted(map(tuple, duplicates.repeated(df, "ref", "list", 1000, at_once).collect())) == [(2, 1)]
+    assert sorted(map(tuple, duplicates.repeated(df.where("list = 2"), "ref").collect())) == []
+    assert sorted(map(tuple, duplicates.repeated(df.where("list = 1"), "ref").collect())) == [(2, 1)]
