@@ -97,18 +97,22 @@ def _citing(spark, sf_dir):
     author; 1990 and the size as year) and a sentence that cites: by numbers, alpha keys or
     author and year, as the order's number has it."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.initcap(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("noun"), (1990 + F.col("p_size")).alias("year"))
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(parts, "l_partkey")
     q = F.col("l_quantity").cast("int") % 9 + 1
-    number = F.when(F.col("l_discount") > 0.09, F.format_string("[%d–%d]", q + 2, q)).otherwise(F.format_string("[%d]", q))
-    alpha = F.when(F.col("l_returnflag") == "R", "[Qx97]").otherwise(F.concat(F.lit("["), F.left("noun", F.lit(3)), F.right(F.col("year").cast("string"), F.lit(2)), F.lit("]")))
+    lines = table(spark, sf_dir, "lineitem")
+    cites = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", q.alias("q"), (F.col("l_discount") > 0.09).alias("bad"), (F.col("l_returnflag") == "R").alias("lost"))
+    cites = spread(cites.join(parts, "l_partkey"), "l_orderkey", like=lines)
+    number = F.when(F.col("bad"), F.format_string("[%d–%d]", F.col("q") + 2, "q")).otherwise(F.format_string("[%d]", "q"))
+    alpha = F.when(F.col("lost"), "[Qx97]").otherwise(F.concat(F.lit("["), F.left("noun", F.lit(3)), F.right(F.col("year").cast("string"), F.lit(2)), F.lit("]")))
     dated = F.concat(F.lit("("), "noun", F.lit(" et al., "), F.col("year").cast("string"), F.lit(")"))
     kind = F.col("l_orderkey") % 3
     sentence = F.concat(F.lit("It is known that all of this holds "), F.when(kind == 0, number).when(kind == 1, alpha).otherwise(dated), F.lit(" in most cases."))
-    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", sentence.alias("s"))
-    docs = lines.groupBy(F.col("l_orderkey").alias("d")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["s"]), "\n").alias("text"))
+    # texts and lists are made of one exchange: each has all of its columns
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", sentence.alias("s"), "noun", "year")
+    works = cites.groupBy(F.col("l_orderkey").alias("d")).agg(F.sort_array(F.collect_list(at)).alias("cites"))
     bibliography = F.lit("\nReferences\n[1] Someone, 1999. [2] Someone else, 2001. [3] Nobody, 2002.")
-    refs = lines.select(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("number"), F.array("noun").alias("authors"), F.col("year"))
-    return docs.withColumn("text", F.concat("text", bibliography)), refs
+    docs = works.select("d", F.concat(F.array_join(F.transform("cites", lambda x: x["s"]), "\n"), bibliography).alias("text"))
+    refs = works.select("d", F.inline("cites")).select("d", F.col("l_linenumber").alias("number"), F.array("noun").alias("authors"), "year")
+    return docs, refs
 
 
 @register(
