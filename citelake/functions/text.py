@@ -317,7 +317,8 @@ def surname(author: Column) -> Column:
     last = F.when(author.contains(","), F.split_part(author, F.lit(","), F.lit(1))).otherwise(
         F.regexp_extract(F.trim(author), r"(\S+)$", 1)
     )
-    return F.regexp_replace(F.lower(fold_diacritics(last)), "[^a-z]", "")
+    folded = let(last, lambda t: F.when(F.octet_length(t) > F.length(t), fold_diacritics(t)).otherwise(t))
+    return F.regexp_replace(F.lower(folded), "[^a-z]", "")
 
 
 def _short_of_compound(x: Column, y: Column) -> Column:

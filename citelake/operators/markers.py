@@ -41,8 +41,8 @@ LEAST, WIDEST = 3, 50
 
 def body(text: Column) -> Column:
     """A text up to a line that is a bibliography's heading."""
-    heading = r"(?im)^\s*(?:" + "|".join(_HEADINGS) + r")\s*[:.]?\s*$[\s\S]*"
-    return F.coalesce(F.regexp_replace(text, heading, ""), F.lit(""))
+    heading = r"[\n\r\u0085\u2028\u2029]\s*(?i:" + "|".join(_HEADINGS) + r")\s*[:.]?\s*(?m:$)(?s:.*)"
+    return F.coalesce(F.substring(F.regexp_replace(F.concat(F.lit("\n"), text), heading, ""), F.lit(2), F.length(text)), F.lit(""))
 
 
 def _prose(line: Column) -> Column:
@@ -84,7 +84,8 @@ def numbers_of(marker: Column) -> Column:
         ends = F.transform(F.split(F.translate(p, "–—~", "---"), "-"), lambda e: e.try_cast("int"))
         return let(ends, lambda e: spelled(p, e[0], F.coalesce(F.get(e, F.lit(1)), e[0])))
 
-    return F.flatten(F.transform(parts, read))
+    single = F.regexp_extract(marker, r"^[\[(]?([0-9]{1,3})[\])]?$", 1)  # as most are
+    return let(single, lambda n: F.when(n != "", F.array(struct(n.cast("int"), F.lit(None)))).otherwise(F.flatten(F.transform(parts, read))))
 
 
 def marks(text: Column) -> Column:
@@ -114,7 +115,7 @@ def marks(text: Column) -> Column:
     tests = {
         "bracket": bracket,
         "paren": lambda line: line.rlike(numeral),
-        "superscript": lambda line: line.rlike(f"[{_SUPER}]"),
+        "superscript": lambda line: (F.octet_length(line) > F.length(line)) & line.rlike(f"[{_SUPER}]"),
         "alpha-key": bracket,
         "author-year": lambda line: F.contains(line, F.lit("19")) | F.contains(line, F.lit("20")),
     }
@@ -134,7 +135,8 @@ def marks(text: Column) -> Column:
         return F.when(tests[style](line), every).otherwise(none)
 
     def read(line, n):
-        return F.when(_prose(line), let(plain(line), lambda t: F.concat(*[found(t, n, s) for s in FORMS]))).otherwise(none)
+        some = bracket(line) | F.contains(line, F.lit("(")) | tests["author-year"](line) | (F.octet_length(line) > F.length(line))
+        return F.when(some & _prose(line), let(plain(line), lambda t: F.concat(*[found(t, n, s) for s in FORMS]))).otherwise(none)
 
     return F.flatten(F.transform(F.split(text, "\n"), read))
 
@@ -394,7 +396,12 @@ def renumbered_marker(marker: Column, inserted: Column) -> Column:
     """A numeric marker after a reference is inserted at a number: those from it on go up by
     one, everything else stands as it was; superscripts stay superscripts."""
     plain = F.translate(marker, _SUPER, "0123456789")
-    parts = F.transform(F.regexp_extract_all(plain, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.coalesce((p.try_cast("int") + F.when(p.try_cast("int") >= inserted, 1).otherwise(0)).cast("string"), p))
+
+    def raised(p):
+        return let(p.try_cast("int"), lambda n: F.coalesce((n + F.when(n >= inserted, 1).otherwise(0)).cast("string"), p))
+
+    # a cast that fails is dear
+    parts = F.transform(F.regexp_extract_all(plain, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.when(p.between("0", ":"), raised(p)).otherwise(p))
     new = F.array_join(parts, "")
     return F.when(plain == marker, new).otherwise(F.translate(new, "0123456789", _SUPER))
 
