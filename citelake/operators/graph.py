@@ -7,6 +7,7 @@ a shared endpoint of many edges is dealt over blocks, so that no task has its wh
 
 What moves is not pairs but, for each edge of a source, the list of the works at its other
 end, ``BLOCK`` at most in a row: pairs come up where they are counted, and are not shuffled.
+Where every work is coupled with every other one, each edge has its work's references instead.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelake.storage import materialize
 
 BLOCK = 1000
+#: References up to which a work's list moves with each of its edges.
+WIDE = 64
 _TASK_EDGES = 100_000
 
 
@@ -55,11 +59,15 @@ def _mine(e: DataFrame, sources: DataFrame | None, own: str, *others: str) -> Da
     return rows if sources is None else rows.join(sources.select(F.col(own).alias("source")).distinct(), "source")
 
 
-def _each_way(one: str, two: str, *columns: tuple[Column, Column, str]) -> Column:
-    """Both directions of a pair: columns as ``one`` and as ``two`` sees them."""
+def _each_way(one: str, two: str, *columns: tuple[Column, Column, str], where: Column | None = None, back: Column | None = None) -> Column:
+    """Both directions of a pair: columns as ``one`` and as ``two`` sees them. Without those
+    that are not ``where`` asked, and without the second one unless ``back``."""
     there = F.struct(F.col(one).alias("source"), F.col(two).alias(two), *[x.alias(n) for x, _, n in columns])
-    back = F.struct(F.col(two).alias("source"), F.col(one).alias(two), *[y.alias(n) for _, y, n in columns])
-    return F.inline(F.array(there, back))
+    again = F.struct(F.col(two).alias("source"), F.col(one).alias(two), *[y.alias(n) for _, y, n in columns])
+    both = F.array(there, again)
+    if back is not None:
+        both = F.when(back, both).otherwise(F.array(there))
+    return F.inline(both if where is None else F.when(where, both))
 
 
 def cocited(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str, least: int = 2) -> DataFrame:
@@ -77,19 +85,85 @@ def _with_degree(edges: DataFrame, citing: str, cited: str) -> DataFrame:
     return e.join(e.groupBy(citing).agg(F.count("*").cast("int").alias("degree")), citing)
 
 
+def _bibliographies(edges: DataFrame, citing: str, cited: str, tasks: int) -> DataFrame:
+    """``(source, degree, refs)``: each work's references, once each, in one row, or, over
+    ``WIDE`` of them, in rows of ``BLOCK`` at most."""
+    own = Window.partitionBy("source")
+    e = edges.select(F.col(citing).alias("source"), cited).where("source is not null").repartition(tasks, "source").distinct()
+    e = e.withColumns({"degree": F.count("*").over(own).cast("int"), "_rn": F.row_number().over(own.orderBy(cited))})
+    part = F.when(F.col("degree") > WIDE, F.floor(F.col("_rn") / BLOCK)).otherwise(0)
+    return e.groupBy("source", "degree", part.alias("_part")).agg(F.sort_array(F.collect_list(cited)).alias("refs")).drop("_part")
+
+
+def _shares(n: Column, da: Column, db: Column) -> tuple:
+    """What ``_each_way`` gives of a pair: overlap, its share of either, Jaccard index."""
+    ways = [F.round(100.0 * n / d, 2) for d in (da, db)]
+    jaccard = F.round(n / (da + db - n), 6)
+    return (n, n, "overlap"), (*ways, "pct"), (jaccard, jaccard, "jaccard")
+
+
+def _coupled_narrow(lists: DataFrame, citing: str, cited: str, tasks: int) -> DataFrame:
+    """Both ways of each pair of ``lists`` that shares a reference. An edge moves with the other
+    references of its work to the cited one. There two works are compared, and the smallest
+    reference that they share has the pair: neither pairs nor counts move. A much cited work
+    has its edges in blocks of ``BLOCK``; each meets itself, and the others by a join."""
+    at = Window.partitionBy(cited)
+    edge = lists.select("source", "degree", "refs", F.explode("refs").alias(cited)).select(cited, "source", "degree", F.array_remove("refs", F.col(cited)).alias("others"))
+    edge = edge.where(F.col(cited).isNotNull())  # as the join below has it, so that both read one exchange
+    edge = edge.repartition(tasks, cited).withColumn("_block", F.floor((F.row_number().over(at.orderBy("source")) - 1) / BLOCK).cast("int"))
+
+    def blocks(rows, *also):
+        works = F.sort_array(F.collect_list(F.struct("source", "degree", "others"))).alias("_w")
+        return rows.groupBy(cited, "_block", *also).agg(works).select(cited, "_block", *also, *[F.col(f"_w.{c}").alias(f"_{c}") for c in ("source", "degree", "others")])
+
+    def compared(rows, mine, first):
+        """Each work of the lists ``mine`` with those of the other lists from ``first`` on."""
+        rest = F.arrays_zip(*[F.slice(f"_{c}", first, F.size(f"_{c}")).alias(n) for c, n in (("source", citing), ("degree", "db"), ("others", "_theirs"))])
+        one = rows.select("*", F.posexplode(f"{mine}_source").alias("_i", "source"))
+        pairs = one.select(cited, "source", F.get(f"{mine}_degree", "_i").alias("da"), F.get(f"{mine}_others", "_i").alias("_own"), F.inline(rest))
+        # not filtered: Spark would intersect once more for that
+        pairs = pairs.select(cited, "source", citing, "da", "db", F.array_intersect("_own", "_theirs").alias("_more"))
+        here = F.coalesce(F.array_min("_more") > F.col(cited), F.lit(True))
+        columns = _shares((F.size("_more") + 1).cast("long"), F.col("da"), F.col("db"))
+        pairs = pairs.select("source", citing, here.alias("_here"), *[c.alias(f"_{n}_{k}") for *ways, n in columns for k, c in enumerate(ways)])
+        return pairs.select(_each_way("source", citing, *[(F.col(f"_{n}_0"), F.col(f"_{n}_1"), n) for *_, n in columns], where=F.col("_here")))
+
+    within = compared(blocks(edge), "", F.col("_i") + 2)
+    n = F.ceil(F.count("*").over(at) / BLOCK).cast("int")
+    hot = blocks(edge.withColumn("_n", n).where("_n > 1"), "_n")
+    left = hot.where("_block < _n - 1").select(cited, F.col("_block").alias("_at"), F.explode(F.expr("sequence(_block + 1, _n - 1)")).alias("_block"), *[F.col(f"_{c}").alias(f"_m_{c}") for c in ("source", "degree", "others")])
+    right = hot.where("_block > 0").select(cited, F.explode(F.expr("sequence(0, _block - 1)")).alias("_at"), "_block", "_source", "_degree", "_others")
+    return within.union(compared(left.join(right, [cited, "_at", "_block"]), "_m", F.lit(1)))
+
+
+def _coupled_wide(lists: DataFrame, citing: str, cited: str, tasks: int) -> DataFrame:
+    """Both ways of each pair with a work of over ``WIDE`` references: pairs are counted where
+    the works that cite a reference have moved to the wide one."""
+    e = lists.select(F.col("source").alias(citing), F.explode("refs").alias(cited), "degree")
+    mine = e.where(F.col("degree") > WIDE).select(F.col(citing).alias("source"), cited, F.col("degree").alias("da"))
+    pairs = _met(mine, e, cited, citing, ["degree"], True, tasks)
+    shared = pairs.groupBy("source", citing).agg(F.count("*").alias("n"), F.any_value("da").alias("da"), F.any_value("degree").alias("db"))
+    return shared.select(_each_way("source", citing, *_shares(F.col("n"), F.col("da"), F.col("db")), back=F.col("db") <= WIDE))
+
+
 def coupled(edges: DataFrame, sources: DataFrame | None, citing: str, cited: str) -> DataFrame:
     """Works that share references with each source work: overlap, its share of the source's
-    references in percent, Jaccard index."""
+    references in percent, Jaccard index.
+
+    Where every work is a source, bibliographies are written to the shared folder once, and
+    what is moved grows with the squares of their lengths, up to ``WIDE``, not with the pairs."""
+    tasks = _tasks(edges)
+    if sources is None:
+        lists = materialize(_bibliographies(edges, citing, cited, tasks), "bibliographies")
+        wide = F.col("degree") > WIDE
+        narrow = _coupled_narrow(lists.where(~wide), citing, cited, tasks)
+        return narrow if lists.where(wide).isEmpty() else narrow.union(_coupled_wide(lists, citing, cited, tasks))
     e = _with_degree(edges, citing, cited)
     mine = _mine(e, sources, citing, cited, F.col("degree").alias("da"))
-    pairs = _met(mine, e, cited, citing, ["degree"], sources is not None, _tasks(edges))
+    pairs = _met(mine, e, cited, citing, ["degree"], True, tasks)
     shared = pairs.groupBy("source", citing).agg(F.count("*").alias("overlap"), F.any_value("da").alias("da"), F.any_value("degree").alias("db"))
-    n = F.col("overlap")
-    ways = [F.round(100.0 * n / F.col(c), 2) for c in ("da", "db")]
-    jaccard = F.round(n / (F.col("da") + F.col("db") - n), 6)
-    if sources is not None:
-        return shared.select("source", citing, "overlap", ways[0].alias("pct"), jaccard.alias("jaccard"))
-    return shared.select(_each_way("source", citing, (n, n, "overlap"), (*ways, "pct"), (jaccard, jaccard, "jaccard")))
+    (n, _, _), (pct, _, _), (jaccard, _, _) = _shares(F.col("overlap"), F.col("da"), F.col("db"))
+    return shared.select("source", citing, n, pct.alias("pct"), jaccard.alias("jaccard"))
 
 
 def gaps(edges: DataFrame, bibliography: DataFrame, citing: str, cited: str, least: int = 2, top: int = 10) -> DataFrame:
